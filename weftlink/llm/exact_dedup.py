@@ -14,13 +14,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import WHITE, Workspace, text_of
 
@@ -159,8 +156,10 @@ def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_colum
     Of repeated rows (same id, equal text) one stays, whichever: its other columns may differ.
     """
     marked = exact_duplicates(docs, id_column, text_column)
-    kept = marked.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    sha = F.sha2(F.regexp_replace(text_of(docs, text_column), WHITE, " "), 256)
-    left = docs.withColumn("_sha", sha)
-    joined = left.join(kept, left[id_column].eqNullSafe(kept["_kept_id"]) & (left["_sha"] == kept["_kept_sha"]), "left_semi")
-    return joined.drop("_sha")
+    dropped = marked.where("not kept").select(F.col("doc_id").alias("_id"), F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha2"))
+    left = docs.withColumn("_sha", F.sha2(F.regexp_replace(text_of(docs, text_column), WHITE, " "), 256))
+    if not dropped.where(F.col("_id").eqNullSafe(F.col("_keep"))).isEmpty():  # repeated rows, seldom
+        left = left.dropDuplicates([id_column, "_sha"])
+    others = dropped.where(~F.col("_id").eqNullSafe(F.col("_keep")))
+    on = left[id_column].eqNullSafe(others["_id"]) & (left["_sha"] == others["_sha2"])
+    return left.join(others, on, "left_anti").drop("_sha")
