@@ -209,7 +209,7 @@ def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     values; null and empty texts are 64 zero bytes; repeated rows are returned as often as they come.
     """
     work = Workspace(docs.sparkSession, "media")
-    stored = work.put(image_tiles(text_images(docs, id_column, text_column), tile=None), "tiles")
+    stored = work.put(image_tiles(text_images(docs, id_column, text_column), tile=None).drop("image"), "tiles", "zstd")
     kind = stored.schema["doc_id"].dataType.simpleString()
     out = stored.select("doc_id", "n_bytes", "tile", "dhash").mapInArrow(
         _features, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
