@@ -10,15 +10,45 @@ from pyspark.sql import functions as F
 from .chat_format import format_conversations, turn_digests
 from .common import read_documents
 from .exact_dedup import exact_duplicates
+from .language_id import id_fold, identify_language, train_on_folds
+from .language_model import score_documents
 from .media import text_media
+from .mixing import mix_sources
+from .near_dedup import near_duplicates
+from .packing import pack_documents
+from .repeats import remove_repeats
 from .sharding import shard_documents
 
 
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_documents(spark, sf_dir))
+
+
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    out = score_documents(docs, id_fold(docs["doc_id"], 7) != 2)
+    return out.withColumn("held_out", id_fold(F.col("doc_id"), 7) == 2)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    out = identify_language(docs, train_on_folds(docs))
+    return out.withColumn("held_out", id_fold(F.col("doc_id"), 5) == 0)
+
+
 def op5_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(read_documents(spark, sf_dir), shards=16, slots=8192)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
+def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -30,6 +60,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_documents(spark, sf_dir))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(read_documents(spark, sf_dir))
 
