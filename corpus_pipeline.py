@@ -1,7 +1,54 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: language ID, exact dedup, near-dedup, mixing and packing.
+
+Each stage takes what the one before kept, written as Parquet and reread. All but the last return the columns of
+``documents``; the last returns the pieces of sequences. Stages are judged on their own input: the language model, the
+mix's targets and the packing's plan are made from the documents that reach them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftlink.llm.common import Workspace, read_documents
+from weftlink.llm.exact_dedup import drop_exact_duplicates
+from weftlink.llm.language_id import keep_identified, train_on_folds
+from weftlink.llm.mixing import apply_mix
+from weftlink.llm.near_dedup import drop_near_duplicates
+from weftlink.llm.packing import pack_documents
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language; those without any letter, or text, go."""
+    return keep_identified(docs, train_on_folds(docs))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_exact_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; a repeated document is a repeated row."""
+    return apply_mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [("language_id", identify), ("exact_dedup", exact), ("near_dedup", near), ("mix_sources", mix), ("pack", pack)]
+
+#: SQL can't express learned language models, best-fit packing or the mix; tests compare with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    work = Workspace(spark, "pipeline")
+    docs = read_documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = work.put(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -253,6 +253,15 @@ def identify_language(docs: DataFrame, model: PieceModel, id_column: str = "doc_
     return plain.mapInArrow(_scorer(model), f"doc_id {kind}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: PieceModel, text_column: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all columns, whose text is in some language; those that are ``und`` go."""
+    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]) if docs.columns else F.struct()
+    plain = docs.select(row.alias("row"), text_of(docs, text_column).alias("body"))
+    schema = plain.select("row").schema.add("lang_pred", "string").add("score", "double")
+    found = plain.mapInArrow(_scorer(model), schema).where("lang_pred <> 'und'")
+    return found.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
+
+
 def train_on_folds(docs: DataFrame, folds: int = 5, held_out: int = 0, **options) -> PieceModel:
     """Learns from labelled rows of ``docs`` (doc_id, text, lang) outside the held-out fold of ids."""
     kept = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_fold(F.col("doc_id"), folds) != held_out))

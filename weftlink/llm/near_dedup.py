@@ -241,10 +241,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_colum
     the first read. Null ids come last. Texts without words, or null, are linked with nothing and kept. An empty
     table gives no rows; other columns are not read.
     """
-    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "near-dedup")
-    order = F.coalesce(docs[id_column].cast("long"), F.lit((1 << 63) - 1))
-    plain = docs.select(docs[id_column].alias("doc_id"), order.alias("ord"), text_of(docs, text_column).alias("body"))
+    work = Workspace(docs.sparkSession, "near-dedup")
+    corpus, _ = write_chunks(_plain(docs, id_column, text_column), F.col("body"), work)
+    out = work.put(_components(corpus, work, words, percent), "result")
+    work.clear("result")
+    return out
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``near_duplicates`` keeps: one of each component."""
+    work = Workspace(docs.sparkSession, "near-dedup")
+    plain = _plain(docs, id_column, text_column, F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"))
     corpus, _ = write_chunks(plain, F.col("body"), work)
+    kept = work.put(_components(corpus, work, words, percent), "result").where("kept").select("uid")
+    rows = corpus.join(kept, "uid", "left_semi").select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
+    out = work.put(rows, "rows-kept")
+    work.clear("rows-kept")
+    return out
+
+
+def _plain(docs: DataFrame, id_column: str, text_column: str, *more) -> DataFrame:
+    order = F.coalesce(docs[id_column].cast("long"), F.lit((1 << 63) - 1))
+    return docs.select(docs[id_column].alias("doc_id"), order.alias("ord"), text_of(docs, text_column).alias("body"), *more)
+
+
+def _components(corpus: DataFrame, work: Workspace, words: int, percent: int) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept, uid`` of a corpus in chunks (chunk, uid, ord, doc_id, body)."""
+    spark = corpus.sparkSession
     kind = corpus.schema["doc_id"].dataType.simpleString()
     described = corpus.select("chunk", "uid", "ord", "doc_id", "body").mapInArrow(_describe(words), f"chunk long, uid long, ord long, doc_id {kind}, n_shingles long, set_a long, set_b long, sign binary")
     described = work.put(described, "described")
@@ -287,7 +310,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_colum
     rows = ledger.join(named, ["set_a", "set_b", "n_shingles"], "left").select("uid", "ord", "doc_id", "n_shingles", F.coalesce("label", "uid").alias("label"))
     rows = work.put(rows, "rows")
     heads = work.put(rows.groupBy("label").agg(F.min(F.struct("ord", "uid", "doc_id")).alias("head")).select("label", F.col("head.uid").alias("head_uid"), F.col("head.doc_id").alias("component_id")), "heads")
-    out = rows.join(heads, "label").select("doc_id", "n_shingles", "component_id", (F.col("uid") == F.col("head_uid")).alias("kept"), "uid")
-    out = work.put(out, "result")
-    work.clear("result")
-    return out
+    return rows.join(heads, "label").select("doc_id", "n_shingles", "component_id", (F.col("uid") == F.col("head_uid")).alias("kept"), "uid")
