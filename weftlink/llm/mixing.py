@@ -83,7 +83,7 @@ def balance(histogram: DataFrame, targets: DataFrame, work: Workspace, rounds: i
     return duals.select("source", "multiplier")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = 3, bin_rows: int = 65_536, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = 3, bin_rows: int = 4096, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """``doc_id, size, source, source_size, target, copies, taken, uid`` of every row of ``docs``.
 
     Size: words of the text (null: 0). A document is taken ``copies`` times, at most ``ceiling``; documents of no
