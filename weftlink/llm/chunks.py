@@ -21,10 +21,11 @@ from .common import Workspace, partitions
 CHUNK_BYTES, LEAST_CHUNKS, OWNER_KEYS = 8 << 20, 24, 2 << 20
 
 
-def write_chunks(rows: DataFrame, body: Column, work: Workspace, name: str = "corpus") -> tuple[DataFrame, int]:
+def write_chunks(rows: DataFrame, body: Column, work: Workspace, name: str = "corpus", derived: bool = False) -> tuple[DataFrame, int]:
     """``rows`` with ``body``, ``uid`` and ``chunk``, written; and the bytes of all bodies.
 
-    The table is bucketed by chunk, so reading it grouped by chunk, however often, moves no text.
+    The table is bucketed by chunk, so reading it grouped by chunk, however often, moves no text. With ``derived``, the body
+    is not stored but made of stored columns whenever it is read.
     """
     sized = rows.withColumn("body", body)
     n, size = sized.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
@@ -32,7 +33,8 @@ def write_chunks(rows: DataFrame, body: Column, work: Workspace, name: str = "co
     numbered = sized.withColumn("uid", F.monotonically_increasing_id())
     numbered = numbered.withColumn("chunk", F.expr(f"uid div {each}"))
     buckets = min(50_000, max(partitions(rows.sparkSession), int(size / (4 * CHUNK_BYTES))))
-    return work.put_bucketed(numbered, name, "chunk", buckets), size
+    stored = work.put_bucketed(numbered.drop("body") if derived else numbered, name, "chunk", buckets)
+    return stored.withColumn("body", body) if derived else stored, size
 
 
 def owner_bits(keys: float) -> int:

@@ -251,8 +251,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_colum
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, that ``near_duplicates`` keeps: one of each component."""
     work = Workspace(docs.sparkSession, "near-dedup")
-    plain = _plain(docs, id_column, text_column, F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"))
-    corpus, _ = write_chunks(plain, F.col("body"), work)
+    plain = _plain(docs, id_column, text_column, F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")).drop("body")
+    text = F.coalesce(F.col("row")[f"c{docs.columns.index(text_column)}"].cast("string"), F.lit(""))
+    corpus, _ = write_chunks(plain, text, work, derived=True)
     kept = work.put(_components(corpus, work, words, percent), "result").where("kept").select("uid")
     rows = corpus.join(kept, "uid", "left_semi").select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
     out = work.put(rows, "rows-kept")
