@@ -34,8 +34,8 @@ from .common import Workspace, text_of
 from .grams import mix, slices, text_buffers
 
 GRAM = 50
-#: Bytes of contexts an owner should get, about.
-OWNER_BYTES = 16 << 20
+#: Bytes of contexts an owner should get, about; bytes of them that are put into one transform, unless one anchor has more.
+OWNER_BYTES, TRANSFORM_BYTES = 8 << 20, 1 << 20
 _VALUES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -279,8 +279,15 @@ def _resolve(length: int):
         covers = [(chunk[again], row[again], start[again], start[again] + wide[again] - 1 + length)]
         per_hash = np.unique(hashes[first], return_inverse=True, return_counts=True)
         several = np.flatnonzero(per_hash[2][per_hash[1]] > 1)
-        if len(several):
-            some = first[several]
+        # anchors never share windows, so each transform takes some of them
+        several = several[np.argsort(hashes[first[several]], kind="stable")]
+        filled = np.cumsum(wide[first[several]] + length) // TRANSFORM_BYTES
+        same = np.ones(len(several), dtype=bool)
+        same[1:] = hashes[first[several]][1:] != hashes[first[several]][:-1]
+        heads = np.flatnonzero(same)
+        cuts_at = heads[1:][np.diff(filled[heads]) > 0]
+        for part in np.split(several, cuts_at) if len(several) else []:
+            some = first[part]
             for k, windows in _repeated_windows([bodies[i] for i in some], wide[some], order[some], row[some], start[some], length):
                 i = some[k]
                 cuts = np.flatnonzero(np.diff(windows, prepend=windows[0] - 2) != 1)
@@ -288,7 +295,9 @@ def _resolve(length: int):
                 same = np.ones(len(cuts), dtype=np.int64)
                 covers.append((same * chunk[i], same * row[i], start[i] + low, start[i] + high + length))
         chunk, row, low, high = (np.concatenate(x) for x in zip(*covers, strict=True))
-        out = [(-1, int(c), _blob(row[chunk == c], low[chunk == c], high[chunk == c])) for c in np.unique(chunk)]
+        by = np.argsort(chunk, kind="stable")
+        edges = np.flatnonzero(np.diff(chunk[by], prepend=-1))
+        out = [(-1, int(chunk[k[0]]), _blob(row[k], low[k], high[k])) for k in (np.split(by, edges[1:]) if len(by) else [])]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, _OUT.types, strict=True)], schema=_OUT)
 
     return resolve
