@@ -428,7 +428,7 @@ def score_pages(spark, sf_dir):
 # --- HTML -------------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS language, false AS noindex FROM pages")
+@query("SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS h1, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS language, false AS noindex FROM pages")
 def html_title_h1(spark, sf_dir):
     none = F.lit(None).cast("string")
     p = _table(spark, sf_dir, "pages").select("page_id", extract_page(F.col("html"), F.col("url"), none).alias("x"))
