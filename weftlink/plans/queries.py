@@ -404,7 +404,7 @@ _SCORE_SQL = (
     "wt AS (SELECT host, term, idf / max(idf) OVER (PARTITION BY host) * CASE WHEN term IN (SELECT g FROM generic) THEN 0.05 ELSE 1 END AS w FROM dfs), "
     f"fields AS (SELECT DISTINCT host, page_id, 'title' AS field, unnest(tt) AS term FROM q UNION SELECT host, page_id, 'h1', unnest(th) FROM q UNION SELECT host, page_id, 'slug', unnest(ts) FROM q UNION "
     f"SELECT host, page_id, 'phrases', unnest(list_concat({grams_sql('tt', 2)}, {grams_sql('tt', 3)}, {grams_sql('th', 2)}, {grams_sql('th', 3)})) FROM q), "
-    "tw AS (SELECT f.*, coalesce(w, CASE WHEN len(list_filter(string_split(term, ' '), lambda x: x NOT IN (SELECT g FROM generic))) = 0 THEN 0.05 ELSE 1 END) AS w FROM fields f LEFT JOIN wt USING (host, term)), "
+    f"tw AS (SELECT f.*, coalesce(w, CASE WHEN len(list_filter(string_split(term, ' '), lambda x: x NOT IN ({_list(X.GENERIC_TERMS)}))) = 0 THEN 0.05 ELSE 1 END) AS w FROM fields f LEFT JOIN wt USING (host, term)), "
     "tot AS (SELECT page_id, field, sum(w) AS total FROM tw GROUP BY ALL), "
     "said AS (SELECT host, page_id, 'token' AS kind, term, max(n) AS n FROM (SELECT host, page_id, term, count(*) AS n FROM (SELECT host, page_id, unnest(body) AS term FROM q) GROUP BY ALL UNION ALL SELECT DISTINCT host, page_id, unnest(list_concat(tt, th)), 3 FROM q) GROUP BY ALL "
     f"UNION ALL SELECT host, page_id, 'phrase', term, count(*) FROM (SELECT host, page_id, unnest(list_concat({grams_sql('body', 2)}, {grams_sql('body', 3)})) AS term FROM q) GROUP BY ALL), "
@@ -415,7 +415,7 @@ _SCORE_SQL = (
     "FROM (SELECT a, b, 'c' || field AS f, v FROM cov UNION ALL SELECT a, b, 'j' || field, v FROM jac) GROUP BY ALL), "
     "top AS (SELECT wide.*, s.region AS sr, t.region AS tr, s.language AS sl, t.language AS tl, t.title, t.h1, ct * 0.18 + cp * 0.16 + ch * 0.12 + jt * 0.07 + cs * 0.06 + jh * 0.05 AS topical FROM wide JOIN q s ON s.page_id = a JOIN q t ON t.page_id = b), "
     "fin AS (SELECT *, 0.06 * round((CASE WHEN title <> '' THEN 0.35 ELSE 0 END + CASE WHEN h1 <> '' THEN 0.3 ELSE 0 END)::DOUBLE, 4) + 0.04 * greatest(0, 1.0 - CASE WHEN sl = '' OR tl = '' THEN 0.25 WHEN sl <> tl THEN 0.5 ELSE 0 END - CASE WHEN sr <> tr THEN 0.5 ELSE 0 END)::DOUBLE AS free FROM top) "
-    "SELECT a AS source_page_id, b AS target_page_id, round(least(1.0, topical + least(1.0, topical / 0.225) * free), 3) AS score, round(cp, 3) AS phrase_overlap, round(ct, 3) AS content_title, round(jt, 3) AS title_overlap FROM fin"
+    "SELECT a AS source_page_id, b AS target_page_id, round(round(least(1.0, topical + least(1.0, topical / 0.225) * free), 4), 3) AS score, round(round(cp, 4), 3) AS phrase_overlap, round(round(ct, 4), 3) AS content_title, round(round(jt, 4), 3) AS title_overlap FROM fin"
 )
 
 
