@@ -53,10 +53,9 @@ class WordTokens:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, texts_words: list[list[str]]) -> None:
-        new = set().union(*texts_words)
         if self.held > 16 * self.limit or len(self.known) > self.limit:
             self.known, self.held = {}, 0
-        new.difference_update(self.known)
+        new = {w for w in set().union(*texts_words) if w not in self.known}
         self.held += sum(map(len, new))
         # a word of letters and ASCII marks has as many word-end tokens as the pattern finds parts in it
         easy = [w for w in new if self.plain.fullmatch(w) and "<|" not in w and "İ" not in w]
