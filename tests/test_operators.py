@@ -219,3 +219,44 @@ def test_settings():
     assert got.interlink_candidate_pool_size == 7 and got.crawler_allowed_ports == (80,)
     with pytest.raises(SettingsError, match="pool_size.*retries|retries.*pool_size"):
         load_settings({"interlink_candidate_pool_size": "51", "crawler_max_retries": "x"})
+
+
+def test_lax_readings(spark):
+    from weftlink.functions import validate as L
+
+    rows = [("1_000", 1000), ("5.0", 5), ("5.5", None), (" -3 ", -3), ("x", None)]
+    out = spark.createDataFrame(rows, "t string, want long").select("want", L.lax_int(F.col("t")).alias("got")).collect()
+    assert [r["want"] for r in out] == [r["got"] for r in out]
+    texts = spark.createDataFrame([("Yes",), ("off",), ("2",)], "t string").select(L.lax_bool(F.col("t")).alias("b")).collect()
+    assert [r["b"] for r in texts] == [True, False, None]
+    one = spark.createDataFrame([("{0123456789ABCDEF0123456789abcdef}", "2026-01-02T03:04:05+01:00", "1767323045", "1767323045000", "yesterday")], "u string, a string, b string, c string, d string")
+    r = one.select(L.lax_uuid(F.col("u")).alias("u"), *[L.lax_timestamp(F.col(c)).alias(c) for c in "abcd"]).first()
+    assert r["u"] == "01234567-89ab-cdef-0123-456789abcdef"
+    assert r["b"] == r["c"] and (r["a"].hour, r["a"].minute) == (2, 4) and r["d"] is None
+    assert spark.range(1).select(L.problems(A=F.lit(True), B=F.lit(None).cast("boolean"), C=F.lit(False)).alias("p")).first()["p"] == ["A"]
+
+
+def test_ai_fold():
+    from weftlink.functions.markup import blocks_of
+    from weftlink.operators.anchors import choose_items
+
+    source = {"id": "source", "url": "https://e.com/source/", "content": BODY, "blocks": blocks_of(BODY, True)}
+    item = lambda id_, anchor, context, score: {"id": id_, "url": f"https://e.com/{id_}/", "href": f"/{id_}/", "anchor": anchor, "context": context, "relevance_score": score, "score": 0.1, "reason": "r", "existing": []}
+    first = "We build voice agents for clinics and banks every single day."
+    second = "Chatbot development is another thing that our customers ask for."
+    items = [item("a", "voice agents", first, 80), item("b", "clinics", first, 90), item("c", "Chatbot development", second, 75), item("d", "customers", second, 70), item("e", "nowhere", "Not on the page at all.", 99), item("f", "teams", "saves time for busy teams", 10), item("g", "click here", second, 95)]
+    got = {r["target_page_id"]: r["skipped"] for r in choose_items(source, items, 70, 1, 3)}
+    assert got == {"b": None, "a": "CONTEXT_ALREADY_USED", "c": "MAX_SUGGESTIONS_REACHED", "d": "MAX_SUGGESTIONS_REACHED", "e": "CONTEXT_NOT_IN_SOURCE", "f": "BELOW_THRESHOLD", "g": "ANCHOR_GENERIC"}
+
+
+def test_ai_analysis_falls_back(spark, site):
+    from weftlink.plans.analyze import analyze_ai
+
+    none = spark.createDataFrame([], SUGGESTIONS)
+    said = json.dumps([{"target_page_id": "chatbot", "is_relevant": True, "relevance_score": 88, "reason": "r", "anchor_text": "Chatbot development", "suggested_context": "Chatbot development is another thing that our customers ask for."}])
+    only = spark.createDataFrame([("source",)], "id string")
+    found = analyze_ai(site, none, F.lit(NOW), lambda prompt: said, sources=only)
+    assert [(r["target_page_id"], r["skipped"]) for r in found["suggestions"].collect()] == [("chatbot", None)] and found["errors"].count() == 0
+    found = analyze_ai(site, none, F.lit(NOW), sources=only, fallback=True)
+    assert {r["error"] for r in found["errors"].collect()} == {"AI_PROVIDER_NOT_CONFIGURED"}
+    assert "chatbot" in {r["target_page_id"] for r in found["suggestions"].where("skipped is null").collect()}
