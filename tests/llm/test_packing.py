@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -47,7 +48,7 @@ TRICKY = ["don't STOP 'streets' we'LL", "a\x1cb c", "x y z", "été É ÉTÉ"
 
 def test_words_tokenise_as_whole_texts():
     whole = Tokenizer.from_file(PATH)
-    ours = [np.frombuffer(x, "<u4").tolist() for x in WordTokens(PATH).encode(TRICKY)]
+    ours = [np.frombuffer(x, "<u4").tolist() for x in WordTokens(PATH).encode(pa.array(TRICKY))]
     assert ours == [whole.encode(x, add_special_tokens=False).ids for x in TRICKY]
 
 
@@ -55,7 +56,7 @@ def test_words_tokenise_as_whole_texts():
 @given(st.lists(st.text(max_size=40), max_size=5))
 def test_any_text_tokenises_alike(texts):
     whole = Tokenizer.from_file(PATH)
-    assert [np.frombuffer(x, "<u4").tolist() for x in WordTokens(PATH, limit=3).encode(texts)] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in WordTokens(PATH, limit=3).encode(pa.array(texts, pa.string()))] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_pieces(docs, rows):

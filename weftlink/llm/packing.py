@@ -21,16 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, text_of
+from .grams import _block_words, slices, text_buffers
 
 
 class WordTokens:
-    """Token ids of texts by a tokenizer that never joins what white space parts, word by word.
+    """Token ids of texts by a tokenizer that never joins what white space parts and ignores the case of A-Z.
 
-    Words are encoded once and kept (little-endian 32-bit ids) until the store holds ``limit`` words
-    or 16 bytes of text for each; then it starts anew, so memory is bounded.
+    A block's words are found, hashed and made distinct as arrays; each distinct word is encoded once and its ids kept,
+    until ``limit`` words are held; then the store starts anew, so memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -40,43 +41,73 @@ class WordTokens:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.plain = regex.compile(r"[\p{L}\x21-\x7e]+")
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.odd = regex.compile(r"[\x1c-\x1f]")
-        self.blanks = regex.compile(r"[\x20\t\n\r]+")
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
-    def words(self, text: str) -> list[str]:
-        # Python also splits at these four, the tokenizer doesn't
-        return [w for w in self.blanks.split(text) if w] if self.odd.search(text) else text.split()
-
-    def _alone(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, texts_words: list[list[str]]) -> None:
-        if self.held > 16 * self.limit or len(self.known) > self.limit:
-            self.known, self.held = {}, 0
-        new = {w for w in set().union(*texts_words) if w not in self.known}
-        self.held += sum(map(len, new))
-        # a word of letters and ASCII marks has as many word-end tokens as the pattern finds parts in it
-        easy = [w for w in new if self.plain.fullmatch(w) and "<|" not in w and "İ" not in w]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.first, self.sizes, self.store, self.filled = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(1 << 16, dtype="<u4"), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word. One of letters and ASCII marks has as many word-end tokens as the pattern finds parts in it, so many
+        are encoded as one text; others go alone."""
+        out: list[np.ndarray | None] = [None] * len(words)
+        easy = [k for k, w in enumerate(words) if self.plain.fullmatch(w) and "İ" not in w]
         for at in range(0, len(easy), 512):
-            words = easy[at : at + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
-            parts = np.cumsum([len(self.parts.findall(w.lower())) for w in words])
+            some = easy[at : at + 512]
+            ids = self.whole(" ".join([words[k] for k in some]))
+            parts = np.cumsum([1 if words[k].isalpha() else len(self.parts.findall(words[k].lower())) for k in some])
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == parts[-1] and stops[-1] == len(ids):
-                cuts = stops[parts - 1].tolist()
-                self.known.update(zip(words, (ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
-        for w in new:
-            if w not in self.known:
-                self.known[w] = self._alone(w)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            split = [self.words(x) for x in texts[at : at + 256]]
-            self.learn(split)
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+                for k, x in zip(some, np.split(ids, stops[parts[:-1] - 1]), strict=True):
+                    out[k] = x
+        return [self.whole(w) if x is None else x for w, x in zip(words, out, strict=True)]
+
+    def _learn(self, keys: list[int], words: list[str]) -> None:
+        new = self._encoded(words)
+        sizes = np.array([len(x) for x in new], dtype=np.int64)
+        need = self.filled + int(sizes.sum())
+        if need > len(self.store):
+            self.store = np.concatenate([self.store[: self.filled], np.zeros(max(need, len(self.store)), dtype="<u4")])
+        self.store[self.filled : need] = np.concatenate(new)
+        self.rows.update(zip(keys, range(len(self.sizes), len(self.sizes) + len(keys)), strict=True))
+        self.first = np.append(self.first, self.filled + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.filled = need
+
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        start, end, hashes = _block_words(data, offsets)
+        keys, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.rows) > self.limit:
+            self._forget()
+        listed = keys.tolist()
+        row = np.fromiter((self.rows.get(k, -1) for k in listed), np.int64, len(listed))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            known = len(self.sizes)
+            raw = data.tobytes()
+            self._learn([listed[k] for k in new], [raw[start[k] : end[k]].decode() for k in sample[new]])
+            row[new] = known + np.arange(len(new))
+        sizes, first = self.sizes[row][inverse], self.first[row][inverse]
+        stops = np.cumsum(sizes)
+        ids = self.store[np.repeat(first - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        cuts = np.concatenate([[0], stops])[np.searchsorted(start, offsets)].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield ids[a:b].tobytes()
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text of an Arrow column."""
+        data, offsets = text_buffers(texts)
+        for a, b in slices(offsets):
+            block = data[offsets[a] : offsets[b]]
+            own = offsets[a : b + 1] - offsets[a]
+            raw = block.tobytes() if (block == 124).any() else b""
+            marked = b"<|" in raw  # may be a token of its own, whose case counts
+            for k, ids in enumerate(self._block(block, own)):
+                text = raw[own[k] : own[k + 1]] if marked else b""
+                yield self.whole(text.decode()).tobytes() if b"<|" in text else ids
 
 
 class OpenBins:
@@ -156,7 +187,7 @@ def _pieces(tokenizer_path: str | None, capacity: int, end_id: int, with_ids: bo
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             source, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
-            for k, body in enumerate(tokens.encode([x or "" for x in batch.column(1).to_pylist()])):
+            for k, body in enumerate(tokens.encode(batch.column(1))):
                 body += end
                 for j, at in enumerate(range(0, len(body), step)):
                     part = body[at : at + step]
