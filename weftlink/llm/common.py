@@ -42,7 +42,8 @@ class Workspace:
 
     def put(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        # rows may hold large binaries: small row groups bound what a writer and a reader's batch hold
+        df.write.mode("overwrite").option("compression", codec).option("parquet.block.size", 8 << 20).parquet(path)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
