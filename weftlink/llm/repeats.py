@@ -35,7 +35,7 @@ from .grams import mix, slices, text_buffers
 
 GRAM = 50
 #: Bytes of contexts an owner should get, about; bytes of them that are put into one transform, unless one anchor has more.
-OWNER_BYTES, TRANSFORM_BYTES = 8 << 20, 1 << 20
+OWNER_BYTES, TRANSFORM_BYTES = 2 << 20, 1 << 20
 _VALUES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
