@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftlink.llm.components import connected
 from weftlink.llm.common import Workspace
-from weftlink.llm.near_dedup import drop_near_duplicates, near_duplicates, region_pairs
+from weftlink.llm.near_dedup import drop_near_duplicates, may_link, near_duplicates, region_pairs, sketch
 
 
 def shingles(text):
@@ -86,3 +86,37 @@ def test_components_of_a_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     labels = connected(edges, Workspace(spark, "t"), "t")
     assert labels.count() == 200 and labels.select("label").distinct().collect()[0][0] == 1
+
+
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(8)
+    for n in (1, 4, 120, 3000, 20_000):
+        for _ in range(20):
+            every = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            a, b = every[: n + rng.integers(0, n)], every[rng.integers(0, n) :]
+            both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            kept = may_link(sketch(a)[None], np.array([len(a)]), sketch(b)[None], np.array([len(b)]), 75)[0]
+            assert kept or 100 * both < 75 * either
+
+
+def family(texts, words, changed, seed):
+    """Variants of an ancestor that is not among them, ``changed`` of their words each; links are few and in dense regions."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    rows = []
+    for i in range(texts):
+        own = base[:]
+        for k in rng.sample(range(words), changed):
+            own[k] = f"x{rng.randrange(3)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_dense_family_with_few_links(spark):
+    rows = family(400, 120, 3, 4)
+    _, groups = components(rows)
+    want = {}
+    for (i, _), g in zip(rows, groups, strict=True):
+        want.setdefault(g, []).append(i)
+    out = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: min(ids) for ids in want.values() for i in ids}

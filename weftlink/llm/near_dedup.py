@@ -6,11 +6,15 @@
    one prefix of four minima form a region. In a small region all are candidates of each other. A larger
    one is cut deeper, minimum by minimum, as long as it is large; at every depth its nodes are
    candidates of their neighbours of longest common prefix in the sorted order and of the region's hub, the node
-   that agrees best with its commonest minima. So candidates are linear in the nodes, in regions of any size.
+   that agrees best with its commonest minima. So these candidates are linear in the nodes, in regions of any size.
 3. Candidates are confirmed on full sets, in two rounds. The first takes each node's two most promising pairs; the second
    takes every other candidate pair whose nodes the first has not connected. Pairs inside a component would not
    change it.
-4. Components spread by smallest labels.
+4. In larger regions every pair that is still apart is tested too, in blocks: all rows outside the region's largest
+   component against all rows. Parity sketches of the sets bound their difference from below, so that only pairs
+   that can't be linked go before the full sets are confirmed; none is lost. What is connected costs nothing
+   here, and many texts of one region that are not linked cost the square of their number.
+5. Components spread by smallest labels.
 
 With similarity 0.75 or more, a pair shares a region in at least one of 32 trees with a probability of 0.999995.
 """
@@ -37,6 +41,10 @@ SMALL, NEAR = 6, 3
 STRETCH = 100_000
 #: Members that are confirmed against one centre in one task.
 BLOCK_MEMBERS = 256
+#: Rows on each side of a block in which all pairs of a region are tested.
+BLOCK_ROWS = 1024
+#: Bits of a parity sketch.
+SKETCH = 4096
 
 _RANDOM = np.random.default_rng(31_337)
 _FACTORS = (_RANDOM.integers(1, 1 << 32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -72,17 +80,30 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Of each of 4096 classes of shingles whether their number is odd: sketches of two sets differ in no more bits than the sets in shingles."""
+    classes = (mix(shingles + np.uint64(0xA24BAED4963EE407)) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits(np.bincount(classes, minlength=SKETCH) & 1).view(np.uint64)
+
+
+def may_link(sketches_a: np.ndarray, sizes_a: np.ndarray, sketches_b: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
+    """False only for pairs of sets that can't be linked: linked ones differ in (100 - percent) of (100 + percent) parts of both at most."""
+    differ = np.bitwise_count(sketches_a ^ sketches_b).sum(axis=1, dtype=np.int64)
+    return (100 + percent) * np.maximum(differ, np.abs(sizes_a - sizes_b)) <= (100 - percent) * (sizes_a + sizes_b)
+
+
 def _describe(words: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ones, twos, signs = [], [], [], []
+            sizes, ones, twos, signs, sketches = [], [], [], [], []
             for found in shingle_sets(batch.column("body"), words):
                 sizes.append(len(found))
                 ones.append(int(mix(found).sum().astype(np.int64)) if len(found) else 0)
                 twos.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(0x632BE59BD9B4E019))).astype(np.int64)) if len(found) else 0)
                 signs.append(signature(found).tobytes())
-            new = [pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(signs, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("chunk", "uid", "ord", "doc_id")] + new, ["chunk", "uid", "ord", "doc_id", "n_shingles", "set_a", "set_b", "sign"])
+                sketches.append(sketch(found).tobytes())
+            new = [pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(signs, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("chunk", "uid", "ord", "doc_id")] + new, ["chunk", "uid", "ord", "doc_id", "n_shingles", "set_a", "set_b", "sign", "sketch"])
 
     return describe
 
@@ -175,6 +196,65 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def sketches_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+
+
+def _block_pairs(percent: int):
+    """Pairs of rows sorted by block: those on the left against all, if their labels differ and sketches don't rule a link out."""
+
+    def block(left: np.ndarray, top: np.ndarray, uid: np.ndarray, label: np.ndarray, size: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        out, right = [np.zeros((0, 2), dtype=np.int64)], np.flatnonzero(~left)
+        for k in np.flatnonzero(left).tolist():
+            # two rows outside the largest component meet twice
+            other = right[(label[right] != label[k]) & (top[right] | (uid[right] > uid[k]))]
+            other = other[may_link(bits[other], size[other], bits[k], size[k], percent)]
+            out.append(np.column_stack([np.minimum(uid[other], uid[k]), np.maximum(uid[other], uid[k])]))
+        return np.concatenate(out)
+
+    def found(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cuts = np.append(np.flatnonzero(np.diff(held[0], prepend=held[0][0] - 1)), len(held[0]))
+        out = [block(*(x[a:b] for x in held[1:])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        pairs = np.unique(np.concatenate(out), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("block", "left", "top", "uid", "label", "n_shingles")] + [sketches_of(batch.column("sketch"))]
+            held = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new, strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1]))  # blocks before the last one are complete
+            if last:
+                yield from found([x[:last] for x in held])
+                held = [x[last:] for x in held]
+        if held is not None:
+            yield from found(held)
+
+    return pairs
+
+
+def region_rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, work: Workspace, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a region of ``members`` (region, uid), are apart by ``labels`` (node, label) and may be linked.
+
+    Rows outside a region's largest component go to the left of blocks, all rows to the right, each to every block
+    that its pairs are in; regions of one component have none.
+    """
+    told = members.join(labels, members["uid"] == labels["node"], "left").select("region", "uid", F.coalesce("label", "uid").alias("label"))
+    told = work.put(told, "told")
+    regions = told.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most"))
+    regions = regions.where("all > most.n").select("region", F.col("most.label").alias("most"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK_ROWS).alias("lefts"), F.ceil(F.col("all") / BLOCK_ROWS).alias("rights"))
+    rows = told.join(regions, "region").join(nodes.select("uid", "n_shingles", "sketch"), "uid").withColumn("top", F.col("label") == F.col("most"))
+    own = lambda many: F.pmod(F.xxhash64("uid"), many)
+    every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
+    left = rows.where("not top").withColumn("x", own(F.col("lefts"))).withColumn("y", every("rights")).withColumn("left", F.lit(True))
+    right = rows.withColumn("x", every("lefts")).withColumn("y", own(F.col("rights"))).withColumn("left", F.lit(False))
+    sent = left.unionByName(right).select(F.xxhash64("region", "x", "y").alias("block"), "left", "top", "uid", "label", "n_shingles", "sketch")
+    sent = sent.repartition(partitions(nodes.sparkSession), "block").sortWithinPartitions("block")
+    return sent.mapInArrow(_block_pairs(percent), "a long, b long").distinct()
+
+
 def _serve(words: int):
     def serve(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         """The set of each wanted row of a chunk, for each block that wants it."""
@@ -270,19 +350,22 @@ def _components(corpus: DataFrame, work: Workspace, words: int, percent: int) ->
     """``doc_id, n_shingles, component_id, kept, uid`` of a corpus in chunks (chunk, uid, ord, doc_id, body)."""
     spark = corpus.sparkSession
     kind = corpus.schema["doc_id"].dataType.simpleString()
-    described = corpus.select("chunk", "uid", "ord", "doc_id", "body").mapInArrow(_describe(words), f"chunk long, uid long, ord long, doc_id {kind}, n_shingles long, set_a long, set_b long, sign binary")
+    described = corpus.select("chunk", "uid", "ord", "doc_id", "body").mapInArrow(_describe(words), f"chunk long, uid long, ord long, doc_id {kind}, n_shingles long, set_a long, set_b long, sign binary, sketch binary")
     described = work.put(described, "described")
-    ledger = described.drop("sign")
+    ledger = described.drop("sign", "sketch")
 
-    full = described.where("n_shingles > 0").select("set_a", "set_b", "n_shingles", F.struct("ord", "uid", "chunk", "sign").alias("first"))
+    full = described.where("n_shingles > 0").select("set_a", "set_b", "n_shingles", F.struct("ord", "uid", "chunk", "sign", "sketch").alias("first"))
     nodes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("first").alias("first"))
-    nodes = work.put(nodes.select("set_a", "set_b", "n_shingles", "first.uid", "first.chunk", "first.sign"), "nodes")
+    nodes = work.put(nodes.select("set_a", "set_b", "n_shingles", "first.uid", "first.chunk", "first.sign", "first.sketch"), "nodes")
     where = nodes.select("uid", "chunk")
     deals = max(partitions(spark), nodes.count() * TREES // 500_000)
-    trees = nodes.select("uid", "sign").mapInArrow(_tree_rows, "region long, rest binary, uid long")
+    trees = work.put(nodes.select("uid", "sign").mapInArrow(_tree_rows, "region long, rest binary, uid long"), "trees")
+    large = trees.groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > SMALL)
+    members = work.put(trees.join(large, "region").select("region", "uid"), "members")
     trees = trees.repartition(deals, "region").sortWithinPartitions("region", "rest", "uid")
     pairs = trees.mapInArrow(_candidates, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     pairs = work.put(pairs, "pairs")
+    work.drop("trees")
 
     # each node's pair of most trees, and its pair with the smallest partner among those of many trees
     sides = pairs.select(F.col("a").alias("n"), F.col("b").alias("m"), "a", "b", "votes").unionByName(pairs.select(F.col("b").alias("n"), F.col("a").alias("m"), "a", "b", "votes"))
@@ -306,6 +389,13 @@ def _components(corpus: DataFrame, work: Workspace, words: int, percent: int) ->
     links = work.put(links.select("a", "b").unionByName(more.select("a", "b")), "links-2")
     labels = connected(links, work, "round-2")
 
+    third = work.put(region_rest(members, labels, nodes, work, percent), "third")
+    work.drop("told", "members", "pairs", "first", "second")
+    if not third.isEmpty():
+        more = confirm_pairs(third, where, corpus, words, percent)
+        links = work.put(links.select("a", "b").unionByName(more.select("a", "b")), "links-3")
+        labels = connected(links, work, "round-3")
+
     named = nodes.join(labels, nodes["uid"] == labels["node"], "left").select("set_a", "set_b", "n_shingles", F.coalesce("label", "uid").alias("label"))
     named = work.put(named, "named")
     rows = ledger.join(named, ["set_a", "set_b", "n_shingles"], "left").select("uid", "ord", "doc_id", "n_shingles", F.coalesce("label", "uid").alias("label"))
