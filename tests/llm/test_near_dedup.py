@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftlink.llm.components import connected
 from weftlink.llm.common import Workspace
-from weftlink.llm.near_dedup import drop_near_duplicates, may_link, near_duplicates, region_pairs, sketch
+from weftlink.llm.near_dedup import apart_pairs, drop_near_duplicates, may_link, near_duplicates, region_pairs, sketch
 
 
 def shingles(text):
@@ -120,3 +120,12 @@ def test_dense_family_with_few_links(spark):
         want.setdefault(g, []).append(i)
     out = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {i: min(ids) for ids in want.values() for i in ids}
+
+
+def test_pair_of_one_tree_is_confirmed(spark):
+    """A real link that one tree proposes counts; only what can't be linked goes."""
+    sets = {1: np.arange(4, dtype=np.uint64), 2: np.arange(3, dtype=np.uint64), 3: np.arange(50, 54, dtype=np.uint64)}
+    nodes = spark.createDataFrame([(u, len(x), sketch(x).tobytes()) for u, x in sets.items()], "uid long, n_shingles long, sketch binary")
+    pairs = spark.createDataFrame([(1, 2, 1), (1, 3, 1), (2, 3, 9)], "a long, b long, votes long")
+    labels = spark.createDataFrame([(3, 3)], "node long, label long")
+    assert [tuple(r) for r in apart_pairs(pairs, labels, nodes, 75).collect()] == [(1, 2)]

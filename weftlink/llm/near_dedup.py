@@ -306,10 +306,23 @@ def confirm_pairs(pairs: DataFrame, where: DataFrame, corpus: DataFrame, words:
     return served.groupBy("hub", "block").applyInArrow(_confirm(percent), "a long, b long")
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint32).reshape(-1, MINIMA) for n in ("sign_a", "sign_b"))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((a == b).sum(axis=1), pa.int64())], ["a", "b", "agree"])
+def _possible(percent: int):
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (bits_a, size_a), (bits_b, size_b) = ((sketches_of(batch.column(f"sketch_{n}")), batch.column(f"size_{n}").to_numpy()) for n in "ab")
+            kept = pa.array(may_link(bits_a, size_a, bits_b, size_b, percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
+
+    return possible
+
+
+def apart_pairs(pairs: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All of ``pairs`` (a, b) whose nodes are apart by ``labels``, but for those that sketches rule out."""
+    la, lb = (labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in ("a", "b"))
+    apart = pairs.join(la, "a", "left").join(lb, "b", "left").where("not (coalesce(la, a) <=> coalesce(lb, b))").select("a", "b")
+    known = nodes.select("uid", "n_shingles", "sketch")
+    beside = apart.join(known.toDF("a", "size_a", "sketch_a"), "a").join(known.toDF("b", "size_b", "sketch_b"), "b")
+    return beside.mapInArrow(_possible(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -377,13 +390,7 @@ def _components(corpus: DataFrame, work: Workspace, words: int, percent: int) ->
     links = work.put(confirm_pairs(first, where, corpus, words, percent), "links-1")
     labels = connected(links, work, "round-1")
 
-    la, lb = (labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in ("a", "b"))
-    apart = pairs.where("votes > 1").join(la, "a", "left").join(lb, "b", "left").where("not (coalesce(la, a) <=> coalesce(lb, b))").select("a", "b")
-    apart = apart.join(first, ["a", "b"], "left_anti")
-    signs = nodes.select("uid", "sign")
-    beside = apart.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b")
-    # 0.6 of 128 minima: four standard deviations below 0.75
-    second = beside.mapInArrow(_agreement, "a long, b long, agree long").where(F.col("agree") >= int(MINIMA * (percent / 100 - 0.15))).select("a", "b")
+    second = apart_pairs(pairs.join(first, ["a", "b"], "left_anti"), labels, nodes, percent)
     second = work.put(second, "second")
     more = confirm_pairs(second, where, corpus, words, percent)
     links = work.put(links.select("a", "b").unionByName(more.select("a", "b")), "links-2")
