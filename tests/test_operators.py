@@ -9,6 +9,7 @@ from weftlink.config import Settings, SettingsError, load_settings
 from weftlink.operators import ai_items as A
 from weftlink.operators import crawling as K
 from weftlink.operators import relational as R
+from weftlink.operators import retrieval as V
 from weftlink.operators import scoring as C
 from weftlink.operators.exclusion import REASONS, candidate_pairs, page_features, reason_counts
 from weftlink.plans.analyze import analyze, apply_approved, parsed
@@ -260,3 +261,18 @@ def test_ai_analysis_falls_back(spark, site):
     found = analyze_ai(site, none, F.lit(NOW), sources=only, fallback=True)
     assert {r["error"] for r in found["errors"].collect()} == {"AI_PROVIDER_NOT_CONFIGURED"}
     assert "chatbot" in {r["target_page_id"] for r in found["suggestions"].where("skipped is null").collect()}
+
+
+def test_embedding_top_k_joins_queries_in_blocks(spark, monkeypatch):
+    rows = [(i, [float(i % 7 + 1), float(i % 5), float(i % 3)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = vectors.selectExpr("vec_id as query_id", "embedding as q")
+    whole = sorted(map(tuple, V.embedding_top_k(queries, vectors, 4).collect()))
+    monkeypatch.setattr(V, "QUERY_BLOCK", 25)
+    assert sorted(map(tuple, V.embedding_top_k(queries, vectors, 4).collect())) == whole and len(whole) == 240
+
+
+def test_embedding_top_k_of_more_queries_than_a_block(spark):
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "vec_id long, embedding array<float>")
+    queries = spark.range(100, 10_101).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("q"))
+    assert V.embedding_top_k(queries, vectors, 2).count() == 2 * 10_001
