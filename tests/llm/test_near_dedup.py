@@ -2,11 +2,13 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftlink.llm.components import connected
 from weftlink.llm.common import Workspace
-from weftlink.llm.near_dedup import apart_pairs, drop_near_duplicates, may_link, near_duplicates, region_pairs, sketch
+from weftlink.llm.near_dedup import _candidates, apart_pairs, drop_near_duplicates, may_link, near_duplicates, possible_pairs, region_pairs, sketch, wide_hubs
 
 
 def shingles(text):
@@ -125,7 +127,28 @@ def test_dense_family_with_few_links(spark):
 def test_pair_of_one_tree_is_confirmed(spark):
     """A real link that one tree proposes counts; only what can't be linked goes."""
     sets = {1: np.arange(4, dtype=np.uint64), 2: np.arange(3, dtype=np.uint64), 3: np.arange(50, 54, dtype=np.uint64)}
-    nodes = spark.createDataFrame([(u, len(x), sketch(x).tobytes()) for u, x in sets.items()], "uid long, n_shingles long, sketch binary")
+    known = spark.createDataFrame([(u, len(x), sketch(x).tobytes()) for u, x in sets.items()], "uid long, n_shingles long, sketch binary")
     pairs = spark.createDataFrame([(1, 2, 1), (1, 3, 1), (2, 3, 9)], "a long, b long, votes long")
     labels = spark.createDataFrame([(3, 3)], "node long, label long")
-    assert [tuple(r) for r in apart_pairs(pairs, labels, nodes, 75).collect()] == [(1, 2)]
+    assert [tuple(r) for r in possible_pairs(apart_pairs(pairs, labels), known, 75).collect()] == [(1, 2)]
+
+
+def test_hub_of_a_region_of_many_stretches(spark):
+    """However rows come in batches, each is held once and one hub meets all rows of the region."""
+    rng = np.random.default_rng(6)
+    rest = rng.integers(0, 9, (600, 8))
+    rest[rng.random(rest.shape) < 0.4] = 4
+    rest[300] = 4
+    order = np.lexsort(rest.T[::-1])
+    rest, uid = rest[order], np.arange(600)
+    for size in (40, 170):
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.full(len(x), 7)), pa.array([y.tobytes() for y in rest[x].astype(">u2")], pa.binary()), pa.array(uid[x])], ["region", "rest", "uid"]) for x in np.split(np.arange(600), range(size, 600, size))]
+        found = pd.concat([x.to_pandas() for x in _candidates(iter(batches), 50)])
+        members = found[found.votes == 0]
+        assert sorted(members.b) == uid.tolist()
+        hubs = wide_hubs(spark.createDataFrame([(int(a), int(b), bytes(r)) for a, b, r in zip(members.a, members.b, members.rest, strict=True)], "region long, uid long, rest binary"), 50).distinct().collect()
+        pairs = {(a, b) for a, b, v in zip(found.a, found.b, found.votes, strict=True) if v} | {tuple(r) for r in hubs}
+        met = np.bincount(np.array(sorted(pairs)).ravel(), minlength=600)
+        assert met.max() == 599
+        near = {(int(x), int(x) + k) for k in (1, 2, 3) for x in uid[: 600 - k]}
+        assert near <= pairs

@@ -37,7 +37,7 @@ from .grams import mix, run_hashes, text_buffers, words_of
 MINIMA, TREES, REGION_LEVELS, LEVELS = 128, 32, 4, 12
 #: Nodes of a region that are all compared; neighbours on each side in a larger one.
 SMALL, NEAR = 6, 3
-#: Rows of one region that are held at once; a larger region is taken in stretches of its sorted order.
+#: Rows of one region that are held at once; a larger region is taken in stretches of its sorted order, with hubs of the whole.
 STRETCH = 100_000
 #: Members that are confirmed against one centre in one task.
 BLOCK_MEMBERS = 256
@@ -154,27 +154,43 @@ def region_pairs(rest: np.ndarray, uid: np.ndarray) -> np.ndarray:
     return np.unique(np.column_stack([every.min(axis=1), every.max(axis=1)]), axis=0)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sorted rows, region after region; a stretch of an over-large region starts with the end of the last one."""
+def _candidates(batches: Iterator[pa.RecordBatch], stretch: int = STRETCH) -> Iterator[pa.RecordBatch]:
+    """Pairs of sorted rows (a, b, votes), region after region, and the rows of regions of over SMALL (region, uid, 0, rest).
+
+    Of a region of over ``stretch`` rows, what is complete is taken at once: the parts of one prefix before the one that
+    is open, for which the rows held suffice. Parts of over ``stretch`` rows get their hubs from ``wide_hubs``.
+    """
     held: list[np.ndarray] | None = None
     width = 2 * (LEVELS - REGION_LEVELS)
+    carried = 0  # rows of the last stretch at the start of held
     out: list[np.ndarray] = []
+    members: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def done(region: np.ndarray, rest: np.ndarray, uid: np.ndarray) -> None:
+    def done(region: np.ndarray, rest: np.ndarray, uid: np.ndarray, large: bool, skip: int) -> None:
+        """``large``: the first region, without its first ``skip`` rows, belongs to one over SMALL."""
         cuts = np.append(np.flatnonzero(np.diff(region, prepend=region[0] - 1)), len(region))
         sizes = np.diff(cuts)
-        for k in np.flatnonzero(sizes > 1).tolist():
+        for k in np.flatnonzero((sizes > 1) | ((np.arange(len(sizes)) == 0) & large)).tolist():
             a, b = int(cuts[k]), int(cuts[k + 1])
             if b - a == 2:
                 out.append(np.array([[min(uid[a], uid[a + 1]), max(uid[a], uid[a + 1])]]))
             else:
                 out.append(region_pairs(rest[a:b], uid[a:b]))
+            first = large and k == 0
+            if b - a > SMALL or first:
+                a += skip if first else 0
+                members.append((region[a:b], uid[a:b], rest[a:b]))
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
         every = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
         out.clear()
         pairs, votes = np.unique(every, axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(votes, pa.int64())], ["a", "b", "votes"])
+        names = ["a", "b", "votes", "rest"]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(votes, pa.int64()), pa.nulls(len(pairs), pa.binary())], names)
+        if members:
+            region, uid, rest = (np.concatenate(x) for x in zip(*members, strict=True))
+            members.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(region, pa.int64()), pa.array(uid, pa.int64()), pa.array(np.zeros(len(uid), dtype=np.int64)), pa.array([x.tobytes() for x in rest.astype(">u2")], pa.binary())], names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -184,16 +200,45 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new, strict=True)]
         last = int(np.searchsorted(held[0], held[0][-1]))  # regions before the last one are complete
         if last:
-            done(*(x[:last] for x in held))
-            held = [x[last:] for x in held]
-        elif len(held[0]) > STRETCH:
-            done(*held)
-            held = [x[-4 * NEAR :] for x in held]
+            done(*(x[:last] for x in held), carried > 0, carried)
+            held, carried = [x[last:] for x in held], 0
+        elif len(held[0]) - carried > stretch:
+            starts = np.logical_and.accumulate(held[1] == held[1][-1], axis=1).argmax(axis=0)  # of the open part at each depth
+            later = starts[starts > carried]
+            cut = int(later[0]) if len(later) else len(held[0])
+            done(*(x[:cut] for x in held), True, carried)
+            begin = max(0, cut - NEAR)
+            held, carried = [x[begin:] for x in held], cut - begin
         if sum(map(len, out)) > 500_000:
-            yield flush()
+            yield from flush()
     if held is not None:
-        done(*held)
-    yield flush()
+        done(*held, carried > 0, carried)
+    yield from flush()
+
+
+def wide_hubs(members: DataFrame, stretch: int = STRETCH) -> DataFrame | None:
+    """Pairs (a, b) of the hub of each part of over ``stretch`` rows with all its rows, by sums over the whole part.
+
+    ``members``: region, uid, rest. As in ``region_pairs``, a part is what shares a region and a prefix, and its hub agrees best
+    with the commonest minima of the levels from there on. There are few such parts, so they are broadcast.
+    """
+    out, rows, levels = None, members, LEVELS - REGION_LEVELS
+    minimum = lambda level: F.expr(f"substring(rest, {2 * level + 1}, 2)")
+    for depth in range(levels - 1):
+        rows = rows.select("region", F.expr(f"substring(rest, 1, {2 * depth})").alias("prefix"), "rest", "uid")
+        wide = rows.groupBy("region", "prefix").agg(F.count("*").alias("m")).where(F.col("m") > stretch).drop("m")
+        if wide.isEmpty():
+            break
+        rows = rows.join(F.broadcast(wide), ["region", "prefix"])
+        values = rows.select("region", "prefix", F.posexplode(F.array(*[minimum(x) for x in range(depth, levels)])).alias("level", "value"))
+        many = values.groupBy("region", "prefix", "level", "value").agg(F.count("*").alias("n"))
+        common = many.groupBy("region", "prefix", "level").agg(F.max(F.struct("n", "value")).alias("most"))
+        common = common.groupBy("region", "prefix").agg(F.map_from_entries(F.collect_list(F.struct("level", "most.value"))).alias("common"))
+        agree = sum((F.when(F.col("common")[F.lit(x - depth)] == minimum(x), 1).otherwise(0) for x in range(depth, levels)), F.lit(0))
+        hubs = rows.join(F.broadcast(common), ["region", "prefix"]).groupBy("region", "prefix").agg((-F.max(F.struct(agree.alias("agree"), (-F.col("uid")).alias("u")))["u"]).alias("hub"))
+        pairs = rows.join(F.broadcast(hubs), ["region", "prefix"]).where("uid <> hub").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def sketches_of(column: pa.Array) -> np.ndarray:
@@ -235,7 +280,7 @@ def _block_pairs(percent: int):
     return pairs
 
 
-def region_rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, work: Workspace, percent: int) -> DataFrame:
+def region_rest(members: DataFrame, labels: DataFrame, known: DataFrame, work: Workspace, percent: int) -> DataFrame:
     """Pairs (a, b) that share a region of ``members`` (region, uid), are apart by ``labels`` (node, label) and may be linked.
 
     Rows outside a region's largest component go to the left of blocks, all rows to the right, each to every block
@@ -245,13 +290,14 @@ def region_rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, work: W
     told = work.put(told, "told")
     regions = told.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most"))
     regions = regions.where("all > most.n").select("region", F.col("most.label").alias("most"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK_ROWS).alias("lefts"), F.ceil(F.col("all") / BLOCK_ROWS).alias("rights"))
-    rows = told.join(regions, "region").join(nodes.select("uid", "n_shingles", "sketch"), "uid").withColumn("top", F.col("label") == F.col("most"))
+    mixed = work.put(told.join(regions, "region"), "mixed")
+    rows = known.join(mixed, "uid").withColumn("top", F.col("label") == F.col("most"))
     own = lambda many: F.pmod(F.xxhash64("uid"), many)
     every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
     left = rows.where("not top").withColumn("x", own(F.col("lefts"))).withColumn("y", every("rights")).withColumn("left", F.lit(True))
     right = rows.withColumn("x", every("lefts")).withColumn("y", own(F.col("rights"))).withColumn("left", F.lit(False))
     sent = left.unionByName(right).select(F.xxhash64("region", "x", "y").alias("block"), "left", "top", "uid", "label", "n_shingles", "sketch")
-    sent = sent.repartition(partitions(nodes.sparkSession), "block").sortWithinPartitions("block")
+    sent = sent.repartition(partitions(known.sparkSession), "block").sortWithinPartitions("block")
     return sent.mapInArrow(_block_pairs(percent), "a long, b long").distinct()
 
 
@@ -316,12 +362,15 @@ def _possible(percent: int):
     return possible
 
 
-def apart_pairs(pairs: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All of ``pairs`` (a, b) whose nodes are apart by ``labels``, but for those that sketches rule out."""
+def apart_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All of ``pairs`` (a, b) whose nodes are apart by ``labels``."""
     la, lb = (labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in ("a", "b"))
-    apart = pairs.join(la, "a", "left").join(lb, "b", "left").where("not (coalesce(la, a) <=> coalesce(lb, b))").select("a", "b")
-    known = nodes.select("uid", "n_shingles", "sketch")
-    beside = apart.join(known.toDF("a", "size_a", "sketch_a"), "a").join(known.toDF("b", "size_b", "sketch_b"), "b")
+    return pairs.join(la, "a", "left").join(lb, "b", "left").where("not (coalesce(la, a) <=> coalesce(lb, b))").select("a", "b")
+
+
+def possible_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` without those that sketches rule out; ``known``: uid, n_shingles, sketch."""
+    beside = pairs.join(known.toDF("a", "size_a", "sketch_a"), "a").join(known.toDF("b", "size_b", "sketch_b"), "b")
     return beside.mapInArrow(_possible(percent), "a long, b long")
 
 
@@ -367,18 +416,21 @@ def _components(corpus: DataFrame, work: Workspace, words: int, percent: int) ->
     described = work.put(described, "described")
     ledger = described.drop("sign", "sketch")
 
-    full = described.where("n_shingles > 0").select("set_a", "set_b", "n_shingles", F.struct("ord", "uid", "chunk", "sign", "sketch").alias("first"))
+    full = described.where("n_shingles > 0").select("set_a", "set_b", "n_shingles", F.struct("ord", "uid", "chunk", "sign").alias("first"))
     nodes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("first").alias("first"))
-    nodes = work.put(nodes.select("set_a", "set_b", "n_shingles", "first.uid", "first.chunk", "first.sign", "first.sketch"), "nodes")
+    nodes = work.put(nodes.select("set_a", "set_b", "n_shingles", "first.uid", "first.chunk", "first.sign"), "nodes")
     where = nodes.select("uid", "chunk")
     deals = max(partitions(spark), nodes.count() * TREES // 500_000)
-    trees = work.put(nodes.select("uid", "sign").mapInArrow(_tree_rows, "region long, rest binary, uid long"), "trees")
-    large = trees.groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > SMALL)
-    members = work.put(trees.join(large, "region").select("region", "uid"), "members")
+    trees = nodes.select("uid", "sign").mapInArrow(_tree_rows, "region long, rest binary, uid long")
     trees = trees.repartition(deals, "region").sortWithinPartitions("region", "rest", "uid")
-    pairs = trees.mapInArrow(_candidates, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    found = work.put(trees.mapInArrow(_candidates, "a long, b long, votes long, rest binary"), "found")
+    members = found.where("votes = 0").select(F.col("a").alias("region"), F.col("b").alias("uid"), "rest")
+    pairs = found.where("votes > 0").select("a", "b", "votes")
+    hubs = wide_hubs(members)
+    if hubs is not None:
+        pairs = pairs.unionByName(hubs.withColumn("votes", F.lit(1).cast("long")))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     pairs = work.put(pairs, "pairs")
-    work.drop("trees")
 
     # each node's pair of most trees, and its pair with the smallest partner among those of many trees
     sides = pairs.select(F.col("a").alias("n"), F.col("b").alias("m"), "a", "b", "votes").unionByName(pairs.select(F.col("b").alias("n"), F.col("a").alias("m"), "a", "b", "votes"))
@@ -390,14 +442,17 @@ def _components(corpus: DataFrame, work: Workspace, words: int, percent: int) ->
     links = work.put(confirm_pairs(first, where, corpus, words, percent), "links-1")
     labels = connected(links, work, "round-1")
 
-    second = apart_pairs(pairs.join(first, ["a", "b"], "left_anti"), labels, nodes, percent)
+    known = described.select("uid", "n_shingles", "sketch")
+    apart = work.put(apart_pairs(pairs.join(first, ["a", "b"], "left_anti"), labels), "apart")
+    ends = work.put(apart.select(F.col("a").alias("uid")).unionByName(apart.select(F.col("b").alias("uid"))).distinct(), "ends")
+    second = possible_pairs(apart, work.put(known.join(ends, "uid"), "known"), percent)
     second = work.put(second, "second")
     more = confirm_pairs(second, where, corpus, words, percent)
     links = work.put(links.select("a", "b").unionByName(more.select("a", "b")), "links-2")
     labels = connected(links, work, "round-2")
 
-    third = work.put(region_rest(members, labels, nodes, work, percent), "third")
-    work.drop("told", "members", "pairs", "first", "second")
+    third = work.put(region_rest(members, labels, known, work, percent), "third")
+    work.drop("told", "mixed", "found", "pairs", "first", "apart", "ends", "known", "second")
     if not third.isEmpty():
         more = confirm_pairs(third, where, corpus, words, percent)
         links = work.put(links.select("a", "b").unionByName(more.select("a", "b")), "links-3")
