@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -79,3 +80,38 @@ def test_pieces(docs, rows):
 
 def test_empty(empty):
     assert pack_documents(empty).count() == 0
+
+
+def regular_words(power):
+    """A Thue-Morse word of 2**power letters and its complement: polynomial hashes modulo a power of two are equal on them."""
+    word = "a"
+    for _ in range(power):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("power", [10, 11, 12])
+def test_long_regular_words_are_told_apart(spark, power):
+    tokenizer = Tokenizer.from_file(PATH)
+    rows = list(enumerate(regular_words(power)))
+    out = pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).orderBy("doc_id", "piece").collect()
+    for k, text in rows:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        want = [zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes()) for a in range(0, len(ids), 2048)]
+        assert [r["ids_crc32"] for r in out if r["doc_id"] == k] == want
+
+
+def test_kept_ids_need_equal_bytes(monkeypatch):
+    """With a hash that is the same for every word, ids still are those of the words."""
+    import weftlink.llm.packing as packing
+    from weftlink.llm.grams import block_words
+
+    def weak(data, breaks):
+        start, end, hashes = block_words(data, breaks)
+        return start, end, hashes * np.uint64(0)
+
+    texts = ["one two Three", "three two four", "", "one  ONE six"]
+    plain = [WordTokens(PATH).whole(t).tobytes() for t in texts]
+    monkeypatch.setattr(packing, "block_words", weak)
+    tokens = WordTokens(PATH)
+    assert list(tokens.encode(pa.array(texts))) == plain == list(tokens.encode(pa.array(texts)))

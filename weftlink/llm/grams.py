@@ -15,10 +15,11 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
-#: Random value of each byte, A-Z as a-z.
-_BYTES = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Random value of each byte, A-Z as a-z, at each of the first 64 places of a word; later places mix in their number.
+PLACES = 64
+_VALUES = np.random.default_rng(20_240_229).integers(1, 1 << 63, (PLACES, 256), dtype=np.uint64)[:, LOWER].ravel()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,8 +48,12 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def _block_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends (exclusive) and hashes of the words of a block; ``breaks``: where a text begins."""
+def block_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends (exclusive) and hashes of the words of a block; ``breaks``: where a text begins.
+
+    A hash is the mixed sum of a random value for each byte and its place, so it tells words apart that agree in their
+    bytes but for the order, however long and regular they are.
+    """
     inside = ~WHITE[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -59,11 +64,15 @@ def _block_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     if not len(start):
         return start, end, np.zeros(0, dtype=np.uint64)
-    _POWERS.to(max(len(data), 1 << 16))
+    at = np.arange(len(data), dtype=np.int32)
+    place = at - np.repeat(np.append(np.int32(0), start.astype(np.int32)), np.diff(start, prepend=0, append=len(data)))
+    values = _VALUES[((place & (PLACES - 1)) << 8) | data]
+    late = np.flatnonzero(place >= PLACES)
+    if len(late):
+        values[late] = mix(values[late] + (place[late] // PLACES).astype(np.uint64) * _MIX1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * _POWERS.up[: len(data)], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * _POWERS.down[start] + (end - start).astype(np.uint64))
-    return start, end, hashes
+    np.cumsum(values, out=sums[1:])
+    return start, end, mix(sums[end] - sums[start] + (end - start).astype(np.uint64))
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +94,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             if done:
                 break
         low, high = np.searchsorted(offsets, [at, end])
-        start, _, found = _block_words(data[at:end], offsets[low:high] - at)
+        start, _, found = block_words(data[at:end], offsets[low:high] - at)
         hashes.append(found)
         starts.append(start + at)
         at = end

@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, text_of
-from .grams import _block_words, slices, text_buffers
+from .grams import LOWER, block_words, slices, text_buffers
 
 
 class WordTokens:
     """Token ids of texts by a tokenizer that never joins what white space parts and ignores the case of A-Z.
 
     A block's words are found, hashed and made distinct as arrays; each distinct word is encoded once and its ids kept,
-    until ``limit`` words are held; then the store starts anew, so memory is bounded.
+    until ``limit`` words are held; then the store starts anew, so memory is bounded. Kept ids are only used for a word
+    of the same bytes: a hash finds them, the bytes decide.
     """
 
     def __init__(self, path: str, limit: int = 800_000):
@@ -45,7 +46,9 @@ class WordTokens:
 
     def _forget(self) -> None:
         self.rows: dict[int, int] = {}
-        self.first, self.sizes, self.store, self.filled = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(1 << 16, dtype="<u4"), 0
+        none = np.zeros(0, dtype=np.int64)
+        self.first, self.sizes, self.store, self.filled = none, none, np.zeros(1 << 16, dtype="<u4"), 0
+        self.begin, self.width, self.letters = none, none, np.zeros(0, dtype=np.uint8)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -65,9 +68,10 @@ class WordTokens:
                     out[k] = x
         return [self.whole(w) if x is None else x for w, x in zip(words, out, strict=True)]
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        new = self._encoded(words)
-        sizes = np.array([len(x) for x in new], dtype=np.int64)
+    def _learn(self, keys: list[int], words: list[bytes]) -> None:
+        """Rows for ``words``, one after another; those of ``keys`` can be found again."""
+        new = self._encoded([w.decode() for w in words])
+        sizes, widths = np.array([len(x) for x in new], dtype=np.int64), np.array([len(w) for w in words], dtype=np.int64)
         need = self.filled + int(sizes.sum())
         if need > len(self.store):
             self.store = np.concatenate([self.store[: self.filled], np.zeros(max(need, len(self.store)), dtype="<u4")])
@@ -75,22 +79,42 @@ class WordTokens:
         self.rows.update(zip(keys, range(len(self.sizes), len(self.sizes) + len(keys)), strict=True))
         self.first = np.append(self.first, self.filled + np.cumsum(sizes) - sizes)
         self.sizes = np.append(self.sizes, sizes)
+        self.begin = np.append(self.begin, len(self.letters) + np.cumsum(widths) - widths)
+        self.width = np.append(self.width, widths)
+        self.letters = np.append(self.letters, LOWER[np.frombuffer(b"".join(words), np.uint8)])
         self.filled = need
 
+    def _others(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Words of the block whose bytes are not those of their row."""
+        wide = end - start
+        other = self.width[row] != wide
+        same = np.flatnonzero(~other)
+        size = wide[same]
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        differ = LOWER[data[np.repeat(start[same], size) + step]] != self.letters[np.repeat(self.begin[row[same]], size) + step]
+        other[same[np.repeat(np.arange(len(same)), size)[differ]]] = True
+        return np.flatnonzero(other)
+
     def _block(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
-        start, end, hashes = _block_words(data, offsets)
+        start, end, hashes = block_words(data, offsets)
         keys, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.rows) > self.limit:
+        if len(self.sizes) > self.limit:
             self._forget()
         listed = keys.tolist()
         row = np.fromiter((self.rows.get(k, -1) for k in listed), np.int64, len(listed))
         new = np.flatnonzero(row < 0)
+        raw = data.tobytes()
         if len(new):
             known = len(self.sizes)
-            raw = data.tobytes()
-            self._learn([listed[k] for k in new], [raw[start[k] : end[k]].decode() for k in sample[new]])
+            self._learn([listed[k] for k in new], [raw[start[k] : end[k]] for k in sample[new]])
             row[new] = known + np.arange(len(new))
-        sizes, first = self.sizes[row][inverse], self.first[row][inverse]
+        row = row[inverse]
+        others = self._others(data, start, end, row) if len(row) else row
+        if len(others):
+            known = len(self.sizes)
+            self._learn([], [raw[start[k] : end[k]] for k in others])
+            row[others] = known + np.arange(len(others))
+        sizes, first = self.sizes[row], self.first[row]
         stops = np.cumsum(sizes)
         ids = self.store[np.repeat(first - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)]
         cuts = np.concatenate([[0], stops])[np.searchsorted(start, offsets)].tolist()
