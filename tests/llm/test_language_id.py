@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from weftlink.llm.language_id import PieceModel, identify_language, keep_identified, public_pieces, train_on_folds
+from weftlink.llm.language_id import PieceModel, identify_language, keep_identified, letter_words, public_pieces, train_on_folds
 
 MADE = {"en": "th er on an in ing and the ed of", "de": "sch ein ich und die der ung ge", "fr": "le eau ment ou é ai de la"}
 
@@ -65,3 +65,31 @@ def test_nothing_learned(docs, rows, empty):
     model = train_on_folds(empty)
     assert {r["lang_pred"] for r in identify_language(docs, model).collect()} == {"und"}
     assert identify_language(empty, model).count() == 0
+
+
+def test_signs_of_numbers_are_no_letters(spark):
+    assert letter_words("½ ② x²y Ⅷ 3a_b é") == ["x", "y", "a", "b", "é"] and letter_words("½ ²") == letter_words("") == []
+    docs, _ = corpus(spark)
+    odd = spark.createDataFrame([(1, "½ ²"), (2, "① ②"), (3, "² x")], "doc_id long, text string")
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify_language(odd, train_on_folds(docs)).collect()}
+    assert out[1] == out[2] == ("und", 0.0) and out[3][0] in MADE
+
+
+def test_words_of_any_length_are_learned_from():
+    """Expected uses cover every letter of a long word, also where one language is far less likely than the other."""
+    pieces = sorted(["▁", "a", "b", "ab", "ba", "aab"])
+    table = np.array([[0.1, 0.1], [0.5, 0.001], [0.1, 0.3], [0.1, 0.3], [0.1, 0.2], [0.05, 0.05], [0.05, 0.049]])
+    model = PieceModel(pieces, ["x", "y"], table)
+    words = ["ab" * 24, "aab" * 700, "b" * 49]
+    expected = model.expected_counts(words, np.ones((3, 2)))
+    sizes = np.array([len(p) for p in pieces] + [1])
+    assert np.isfinite(expected).all() and np.allclose((expected * sizes[:, None]).sum(axis=0), sum(len(w) + 1 for w in words))
+
+
+def test_bound_on_languages(spark):
+    docs, _ = corpus(spark)
+    from weftlink.llm.language_id import train_language_model
+    from pyspark.sql import functions as F
+
+    labelled = docs.where("text is not null").select("doc_id", "lang", F.col("text").alias("body"))
+    assert train_language_model(labelled, languages=2).languages == sorted(r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2).collect())

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import groupby
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,21 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, text_of
 
-LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 LONGEST = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(LONGEST + 1, _BASE, dtype=np.uint64)) * np.uint64(0xD1B54A32D192ED03)
 
 
+def letter_words(text: str) -> list[str]:
+    """Maximal runs of letters of the lower-cased text. The pattern also takes signs of numbers such as fractions; they part words."""
+    found = _LETTERS.findall(text.lower())
+    if "".join(found).isalpha() or not found:
+        return found
+    return ["".join(run) for word in found for alpha, run in groupby(word, str.isalpha) if alpha]
+
+
 def _codes(words: list[str]) -> np.ndarray:
     """Words of one length as a matrix of code points."""
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
@@ -51,7 +60,7 @@ def public_pieces(path: str | None = None) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     found = (model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)))
     lowered = {x.lower() for x in found}
-    return sorted(x for x in lowered if len(x) <= LONGEST and (x.lstrip(MARK) == "" and x == MARK or LETTERS.fullmatch(x.removeprefix(MARK))))
+    return sorted(x for x in lowered if len(x) <= LONGEST and (x == MARK or x.removeprefix(MARK).isalpha()))
 
 
 class PieceModel:
@@ -75,76 +84,62 @@ class PieceModel:
         found = np.where(self.keys[at] == h, self.order[at], -1)
         return np.where(found < 0, len(self.pieces), found) if length == 1 else found
 
-    def _sums(self, codes: np.ndarray, chance: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Forward sums of every place of every word, and the logarithm they were divided by at each place."""
+    def _sums(self, codes: np.ndarray, found: list[np.ndarray], backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over the segmentations of the first j letters of every word, or the last j, in each language, and the logarithm that each was
+        divided by. Every 16 letters what later places still read is divided by its newest sum, so words may be of any length."""
         m, n = codes.shape
-        table = np.vstack([chance, np.zeros(chance.shape[1])])  # row -1: no piece
-        sums, scale = np.zeros((m, n + 1, chance.shape[1])), np.zeros((m, n + 1))
+        table = np.vstack([self.chance, np.zeros(self.chance.shape[1])])  # row -1: no piece
+        sums, scale = np.zeros((m, n + 1, table.shape[1])), np.zeros((m, n + 1, table.shape[1]))
         sums[:, 0] = 1.0
         for j in range(1, n + 1):
             total = sums[:, j]
             scale[:, j] = scale[:, j - 1]
             for length in range(1, min(LONGEST, j) + 1):
-                total += sums[:, j - length] * table[found[length - 1][:, j - length]]
-            if j % 16 == 0:  # what later places still read is divided by its largest sum
+                total += sums[:, j - length] * table[found[length - 1][:, n - j if backward else j - length]]
+            if j % 16 == 0:
                 low = max(0, j - LONGEST + 1)
-                top = total.max(axis=1)
-                sums[:, low : j + 1] /= top[:, None, None]
-                scale[:, j] += np.log(top)
+                top = np.maximum(total, 1e-300)
+                sums[:, low : j + 1] /= top[:, None]
+                scale[:, low : j + 1] += np.log(top)[:, None]
         return sums, scale
 
-    def log_chances(self, words: list[str]) -> np.ndarray:
-        """Natural logarithm of each word's probability in each language."""
-        out = np.zeros((len(words), len(self.languages)))
+    def _by_length(self, words: list[str], cells: int) -> Iterator[tuple[list[int], np.ndarray, list[np.ndarray]]]:
+        """Words of one length together, of about ``cells`` letters: their numbers, codes, and pieces of each length at each place."""
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by_length.setdefault(len(w), []).append(k)
         for n, every in by_length.items():
-            step = max(1, 200_000 // (n + 1))
+            step = max(1, cells // (n + 1))
             for at in range(0, len(every), step):
                 some = every[at : at + step]
                 codes = _codes([MARK + words[k] for k in some])
-                found = [self._find(codes, length) for length in range(1, min(LONGEST, codes.shape[1]) + 1)]
-                sums, scale = self._sums(codes, self.chance, found)
-                out[some] = np.log(np.maximum(sums[:, -1], 1e-300)) + scale[:, -1:]
+                yield some, codes, [self._find(codes, length) for length in range(1, min(LONGEST, codes.shape[1]) + 1)]
+
+    def log_chances(self, words: list[str]) -> np.ndarray:
+        """Natural logarithm of each word's probability in each language."""
+        out = np.zeros((len(words), len(self.languages)))
+        for some, codes, found in self._by_length(words, 200_000):
+            sums, scale = self._sums(codes, found)
+            out[some] = np.log(np.maximum(sums[:, -1], 1e-300)) + scale[:, -1]
         return out
 
     def expected_counts(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in each language; ``counts[w, l]``: how often word w is in language l.
-
-        Words of one length of at most 48 letters are done together; longer ones add nothing.
-        """
+        """Expected uses of each piece in each language; ``counts[w, l]``: how often word w is in language l."""
         out = np.zeros_like(self.chance)
-        by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            if len(w) <= 48:
-                by_length.setdefault(len(w), []).append(k)
-        table = np.vstack([self.chance, np.zeros(self.chance.shape[1])])
-        for n, every in by_length.items():
-            step = max(1, 100_000 // (n + 1))
-            for at in range(0, len(every), step):
-                some = every[at : at + step]
-                codes = _codes([MARK + words[k] for k in some])
-                size = codes.shape[1]
-                found = [self._find(codes, length) for length in range(1, min(LONGEST, size) + 1)]
-                forward = np.zeros((len(some), size + 1, self.chance.shape[1]))
-                backward = np.zeros_like(forward)
-                forward[:, 0], backward[:, size] = 1.0, 1.0
-                for j in range(1, size + 1):
-                    for length in range(1, min(LONGEST, j) + 1):
-                        forward[:, j] += forward[:, j - length] * table[found[length - 1][:, j - length]]
-                for i in range(size - 1, -1, -1):
-                    for length in range(1, min(LONGEST, size - i) + 1):
-                        backward[:, i] += backward[:, i + length] * table[found[length - 1][:, i]]
-                share = counts[some] / np.maximum(forward[:, size], 1e-300)
-                for i in range(size):
-                    for length in range(1, min(LONGEST, size - i) + 1):
-                        piece = found[length - 1][:, i]
-                        there = piece >= 0
-                        if there.any():
-                            used = (share * forward[:, i] * backward[:, i + length])[there] * table[piece[there]]
-                            for k in range(out.shape[1]):
-                                out[:, k] += np.bincount(piece[there], weights=used[:, k], minlength=len(out))
+        for some, codes, found in self._by_length(words, 100_000):
+            size = codes.shape[1]
+            forward, before = self._sums(codes, found)
+            backward, after = self._sums(codes, found, backward=True)
+            backward, after = backward[:, ::-1], after[:, ::-1]
+            share, whole = counts[some] / np.maximum(forward[:, size], 1e-300), before[:, size]
+            for i in range(size):
+                for length in range(1, min(LONGEST, size - i) + 1):
+                    piece = found[length - 1][:, i]
+                    there = piece >= 0
+                    if there.any():
+                        used = (share * forward[:, i] * backward[:, i + length] * np.exp(before[:, i] + after[:, i + length] - whole))[there] * self.chance[piece[there]]
+                        for k in range(out.shape[1]):
+                            out[:, k] += np.bincount(piece[there], weights=used[:, k], minlength=len(out))
         return out
 
     def updated(self, expected: np.ndarray) -> PieceModel:
@@ -169,39 +164,41 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.update((lang, w) for w in LETTERS.findall(text.lower()))
+            held.update((lang, w) for w in letter_words(text))
             if len(held) > 200_000:
                 yield out()
     yield out()
 
 
-def train_language_model(labelled: DataFrame, sample: int = 1000, rounds: int = 3, pieces_path: str | None = None) -> PieceModel:
-    """Learns from ``labelled`` (doc_id, lang, body): about ``sample`` documents of each language, chosen by a hash
-    of their ids. That bound and ``rounds`` of expectation-maximisation are the parameters of the fit.
+def train_language_model(labelled: DataFrame, sample: int = 1000, rounds: int = 3, pieces_path: str | None = None, languages: int = 200) -> PieceModel:
+    """Learns from ``labelled`` (doc_id, lang, body): about ``sample`` documents of each of the ``languages`` with most documents (ties
+    by name), chosen by a hash of their ids. Those bounds and ``rounds`` of expectation-maximisation are the parameters of the fit.
 
-    The driver holds the counts of the vocabulary's pieces in each language, a fixed number.
+    The driver holds the counts of the vocabulary's pieces in each language, a fixed number. Texts are read whole and words may be
+    of any length; repeated rows count as often as they come; null ids are one id; without rows the model knows no language.
     """
-    many = {row["lang"]: row["count"] for row in labelled.groupBy("lang").count().collect()}
-    languages = sorted(many)
+    most = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    many = {row["lang"]: row["count"] for row in most.collect()}
+    names = sorted(many)
     pieces = public_pieces(pieces_path)
-    model = PieceModel(pieces, languages)
-    if not languages:
+    model = PieceModel(pieces, names)
+    if not names:
         return model
-    model.prior = np.log(np.array([many[x] for x in languages]) / sum(many.values()))
+    model.prior = np.log(np.array([many[x] for x in names]) / sum(many.values()))
     spark, work = labelled.sparkSession, Workspace(labelled.sparkSession, "language-id")
-    share = spark.createDataFrame([(x, min(1.0, sample / many[x])) for x in languages], "lang string, share double")
+    share = spark.createDataFrame([(x, min(1.0, sample / many[x])) for x in names], "lang string, share double")
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.col("share") * 1_000_000
     taken = labelled.join(F.broadcast(share), "lang").where(chosen).select("lang", "body")
-    words = taken.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("word").pivot("lang", languages).agg(F.sum("n")).fillna(0)
-    words = work.put(words.toDF("word", *[f"n{k}" for k in range(len(languages))]), "words")
-    names = [f"n{k}" for k in range(len(languages))]
+    words = taken.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("word").pivot("lang", names).agg(F.sum("n")).fillna(0)
+    columns = [f"n{k}" for k in range(len(names))]
+    words = work.put(words.toDF("word", *columns), "words")
     for _ in range(rounds):
         current = model
 
         def expect(frames: Iterator[pd.DataFrame], model: PieceModel = current) -> Iterator[pd.DataFrame]:
             total = np.zeros_like(model.chance)
             for frame in frames:
-                total += model.expected_counts(frame["word"].tolist(), frame[names].to_numpy(dtype=np.float64))
+                total += model.expected_counts(frame["word"].tolist(), frame[columns].to_numpy(dtype=np.float64))
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "lang": lang, "used": total[piece, lang]})
 
@@ -222,7 +219,7 @@ def _scorer(model: PieceModel, limit: int = 400_000):
             picked, scores = [], []
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 256):
-                split = [LETTERS.findall(x.lower()) for x in texts[at : at + 256]]
+                split = [letter_words(x) for x in texts[at : at + 256]]
                 if len(known) > limit:
                     known, table = {}, table[:0]
                 new = list(set().union(*split).difference(known))
@@ -254,7 +251,9 @@ def identify_language(docs: DataFrame, model: PieceModel, id_column: str = "doc_
 
 
 def keep_identified(docs: DataFrame, model: PieceModel, text_column: str = "text") -> DataFrame:
-    """Rows of ``docs``, with all columns, whose text is in some language; those that are ``und`` go."""
+    """Rows of ``docs``, with all columns, whose text is in some language; those that are ``und`` go: null texts, texts without a
+    letter, and all where nothing was learned. Repeated rows stay as often as they come, ids and other columns may hold anything, and
+    columns may have any names. An empty table gives no rows."""
     row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]) if docs.columns else F.struct()
     plain = docs.select(row.alias("row"), text_of(docs, text_column).alias("body"))
     schema = plain.select("row").schema.add("lang_pred", "string").add("score", "double")
@@ -263,6 +262,6 @@ def keep_identified(docs: DataFrame, model: PieceModel, text_column: str = "text
 
 
 def train_on_folds(docs: DataFrame, folds: int = 5, held_out: int = 0, **options) -> PieceModel:
-    """Learns from labelled rows of ``docs`` (doc_id, text, lang) outside the held-out fold of ids."""
+    """Learns from labelled rows of ``docs`` (doc_id, text, lang) outside the held-out fold of ids; null texts and labels are left out."""
     kept = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_fold(F.col("doc_id"), folds) != held_out))
     return train_language_model(kept.select("doc_id", "lang", F.col("text").alias("body")), **options)
