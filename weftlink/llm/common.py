@@ -18,9 +18,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one is set only where none is, as in tests."""
+    """The shared folder that the session names. Where it names none, as in tests, a local session gets one of its own;
+    a cluster must name one, because its machines share no temporary folder."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         held = tempfile.mkdtemp(prefix="weftlink-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(held)
@@ -31,7 +34,8 @@ class Workspace:
     """Parquet tables of one operator call below the shared folder.
 
     ``put`` writes a table and reads it back, which cuts its lineage. ``drop`` deletes one that
-    no later plan reads, ``clear`` all but the named ones. What a returned DataFrame reads stays.
+    no later plan reads, ``clear`` all but the named ones. What a returned DataFrame reads stays. As a context, a
+    workspace whose body fails is cleared, its tables in the catalog too.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -40,6 +44,13 @@ class Workspace:
         self.names: set[str] = set()
         self.tables: dict[str, str] = {}
 
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind is not None:
+            self.clear()
+
     def put(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
         # rows may hold large binaries: small row groups bound what a writer and a reader's batch hold
@@ -47,13 +58,18 @@ class Workspace:
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def put_bucketed(self, df: DataFrame, name: str, column: str, buckets: int, codec: str = "zstd") -> DataFrame:
-        """As ``put``, bucketed by a column: grouping by it reads the files of a bucket together, without a shuffle."""
+    def put_bucketed(self, df: DataFrame, name: str, column: str, buckets: int, order: str, codec: str = "zstd") -> DataFrame:
+        """As ``put``, bucketed by a column: grouping by it reads the files of a bucket together, without a shuffle. Files are
+        sorted by ``order``. A table whose writing fails leaves nothing in the catalog."""
         table = f"weft_{uuid.uuid4().hex}"
         path = f"{self.root}/{name}"
-        df.write.format("parquet").option("path", path).option("compression", codec).bucketBy(buckets, column).saveAsTable(table)
         self.names.add(name)
         self.tables[name] = table
+        try:
+            df.write.format("parquet").option("path", path).option("compression", codec).bucketBy(buckets, column).sortBy(order).saveAsTable(table)
+        except BaseException:
+            self.drop(name)
+            raise
         return self.spark.table(table)
 
     def drop(self, *names: str) -> None:
