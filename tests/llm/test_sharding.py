@@ -1,3 +1,7 @@
+import random
+import zlib
+from collections import Counter
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,3 +49,33 @@ def test_copies_spread(spark):
 
 def test_empty(empty):
     assert shard_documents(empty).count() == 0
+
+
+def test_every_row_by_brute_force(docs, rows):
+    """Sizes and checksums of each row, gapless places, and shards nearly as equal as whole rows allow."""
+    out = shard_documents(docs, shards=5, slots=512).collect()
+    want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode()), r[2], r[3]) for r in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["lang"], r["source"]) for r in out) == want
+    for shard in range(5):
+        assert sorted(r["slot"] for r in out if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in out)))
+    loads = Counter()
+    for r in out:
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) - min(loads.values()) <= max(r["size"] for r in out)
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    """The law holds where half of all rows are equal in id and text."""
+    rng = random.Random(1)
+    rows = [(7, "one and the same " * 3)] * 3000 + [(100 + i, "x" * rng.randint(1, 90)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = shard_documents(docs, shards=16, slots=8192).groupBy("shard").agg(F.sum("size").alias("bytes")).toPandas()
+    assert len(out) == 16 and out["bytes"].max() - out["bytes"].min() <= 2
+
+
+def test_names_of_results_and_of_the_inside(spark):
+    names = ["_id", "_size", "_crc", "_rank", "_shard", "_start", "_version", "h", "n", "id", "body", "row", "crc", "start", "rank", "version", "c0", "size"]
+    docs = spark.createDataFrame([(1, "a b", *names), (2, None, *names)], ["doc_id", "text", *names])
+    out = shard_documents(docs, shards=2, slots=8)
+    assert out.columns[: len(names) + 1] == ["doc_id", "text", *names[:-1]] and "size" in out.columns
+    assert all([r[c] for c in names[:-1]] == names[:-1] for r in out.collect())

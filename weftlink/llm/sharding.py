@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots.
 
-Records are hashed into thousands of virtual slots, once and for all. Their bytes are summed per
+Records are hashed into thousands of virtual slots, once and for all (repeated rows by their row numbers too). Their bytes are summed per
 slot, and a versioned map says which shard owns a slot. Rebalancing and growing edit that map, of
 ``slots`` entries at most, and never touch a record's slot.
 """
@@ -90,38 +90,42 @@ class SlotMap:
         return [(self.version, s, o) for s, o in enumerate(self.owner)]
 
 
-def with_slot(docs: DataFrame, slots: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with ``_size``, ``_crc`` and ``_vslot``: the hash of id and whole text, so neither a repeated
-    id nor a group of copies fills one slot."""
-    text = text_of(docs, text_column)
-    out = docs.withColumn("_size", (F.octet_length(text) + 1).cast("long")).withColumn("_crc", unsigned_crc(F.encode(text, "UTF-8")))
-    return out.withColumn("_vslot", F.pmod(F.xxhash64(docs[id_column], text), F.lit(slots)).cast("int"))
+#: Groups of rows equal in id and text are broadcast up to so many (28 bytes each); beyond, the join shuffles.
+BROADCAST_GROUPS = 1 << 20
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, slots: int = 8192, id_column: str = "doc_id", text_column: str = "text", versions: list[SlotMap] | None = None) -> DataFrame:
-    """``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot`` (the place in the shard, from 0 without gaps).
+def place_rows(rows: DataFrame, slots: int, work: Workspace) -> DataFrame:
+    """``rows`` (id, body, ...), written, with ``size``, ``crc`` and ``vslot`` in place of the body.
 
-    Law ``bytes``: the summed sizes (bytes of the text, and 1) of shards are near equal. Version 0 of the map
-    deals slots in turn, version 1 is rebalanced by the bytes of each slot; ``versions``, if given, receives
-    both, and they are stored with each slot's bytes and rows as a table in the shared folder.
-    A null text has no bytes; rows that are equal in id and text share a slot; an empty table gives an
-    empty result. Columns of ``docs`` with the names of results are replaced.
-    Rows are numbered inside a virtual slot and then shifted by what precedes the slot in its shard, so
-    the largest sort is of a slot's rows, not of a shard's.
+    The slot is the hash of id and whole text, so neither a repeated id nor a group of copies fills one. Rows that are equal in
+    both, which any of them may stand for, are dealt by their row number as well. Those groups are found by partial
+    counts, and a group of very many rows meets its one count by a broadcast or by a join that adaptive execution splits.
     """
-    spark: SparkSession = docs.sparkSession
-    work = Workspace(spark, "sharding")
-    placed = with_slot(docs, slots, id_column, text_column)
-    sums = placed.groupBy("_vslot").agg(F.sum("_size").alias("bytes"), F.count("*").alias("n")).collect()  # slots rows at most
+    crc = unsigned_crc(F.encode("body", "UTF-8"))
+    keyed = rows.withColumns({"size": (F.octet_length("body") + 1).cast("long"), "crc": crc, "h": F.xxhash64("id", "body")}).drop("body")
+    repeated = keyed.groupBy("h", "size", "crc").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("r_h"), F.col("size").alias("r_size"), F.col("crc").alias("r_crc"))
+    repeated = work.put(repeated, "repeated")
+    some = F.broadcast(repeated) if repeated.count() <= BROADCAST_GROUPS else repeated
+    told = keyed.join(some, (keyed["h"] == repeated["r_h"]) & (keyed["size"] == repeated["r_size"]) & (keyed["crc"] == repeated["r_crc"]), "left")
+    hashed = F.when(F.col("r_h").isNull(), F.col("h")).otherwise(F.xxhash64("h", F.monotonically_increasing_id()))
+    placed = told.withColumn("vslot", F.pmod(hashed, F.lit(slots)).cast("int")).drop("h", "r_h", "r_size", "r_crc")
+    return work.put(placed, "placed")
+
+
+def shard_rows(rows: DataFrame, work: Workspace, shards: int, slots: int, versions: list[SlotMap] | None) -> DataFrame:
+    """``rows`` (id, body, ...) with ``size, crc, vslot, shard, slot, version`` in place of the body."""
+    spark: SparkSession = rows.sparkSession
+    placed = place_rows(rows, slots, work)
+    sums = placed.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # slots rows at most
     weight, count = np.zeros(slots), np.zeros(slots, dtype=np.int64)
     for row in sums:
-        weight[row["_vslot"]], count[row["_vslot"]] = row["bytes"], row["n"]
+        weight[row["vslot"]], count[row["vslot"]] = row["bytes"], row["n"]
     maps = [SlotMap.initial(slots, shards)]
     maps.append(maps[0].rebalanced(weight))
     if versions is not None:
         versions.extend(maps)
     table = [(v, s, o, int(weight[s]), int(count[s])) for m in maps for v, s, o in m.rows()]
-    stored = work.put(spark.createDataFrame(table, "version int, vslot int, shard int, bytes long, n long").coalesce(1), "slot-map")
+    work.put(spark.createDataFrame(table, "version int, vslot int, shard int, bytes long, n long").coalesce(1), "slot-map")
     owner = np.array(maps[-1].owner)
     order = np.lexsort((np.arange(slots), owner))
     before = np.cumsum(count[order]) - count[order]
@@ -130,10 +134,29 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = 8192, id_col
     first = np.cumsum(first) - first
     start = np.zeros(slots, dtype=np.int64)
     start[order] = before - first[owner[order]]
-    place = spark.createDataFrame([(s, int(owner[s]), int(start[s]), maps[-1].version) for s in range(slots)], "_vslot int, _shard int, _start long, _version int")
-    rank = F.expr("row_number() over (partition by _vslot order by _id, _crc, _size) - 1")
-    out = placed.withColumn("_id", docs[id_column]).withColumn("_rank", rank).join(F.broadcast(place), "_vslot")
-    del stored
-    named = {"size": "_size", "text_crc32": "_crc", "shard": "_shard", "map_version": "_version", "vslot": "_vslot"}
-    out = out.withColumn("slot", (F.col("_start") + F.col("_rank")).cast("long")).withColumns({k: F.col(v) for k, v in named.items()})
-    return out.drop("_size", "_crc", "_vslot", "_rank", "_start", "_shard", "_version", "_id")
+    place = spark.createDataFrame([(s, int(owner[s]), int(start[s]), maps[-1].version) for s in range(slots)], "vslot int, shard int, start long, version int")
+    rank = F.expr("row_number() over (partition by vslot order by id, crc, size) - 1")
+    out = placed.withColumn("rank", rank).join(F.broadcast(place), "vslot")
+    return out.withColumn("slot", (F.col("start") + F.col("rank")).cast("long")).drop("start", "rank")
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, slots: int = 8192, id_column: str = "doc_id", text_column: str = "text", versions: list[SlotMap] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``size``, ``text_crc32``, ``shard``, ``slot`` (the place in the shard, from 0 without gaps), ``map_version`` and ``vslot``.
+
+    Law ``bytes``: the summed sizes (bytes of the text, and 1) of shards are near equal. Version 0 of the map
+    deals slots in turn, version 1 is rebalanced by the bytes of each slot; ``versions``, if given, receives
+    both, and they are stored with each slot's bytes and rows as a table in the shared folder.
+    A null text has no bytes; null ids are one id; rows that are equal in id and text are dealt apart; ties of order are such rows; an
+    empty table gives an empty result. ``columns``: those of ``docs`` to carry (all, if not given); they may have any names, and those
+    with the names of results are replaced. Rows are numbered inside a virtual slot and then shifted by what precedes the slot in its
+    shard, so the largest sort is of a slot's rows, not of a shard's.
+    """
+    results = {"size": "size", "text_crc32": "crc", "shard": "shard", "slot": "slot", "map_version": "version", "vslot": "vslot"}
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in results]
+    with Workspace(docs.sparkSession, "sharding") as work:
+        rows = docs.select(F.struct(F.lit(0).alias("none"), *[docs[c].alias(f"c{k}") for k, c in enumerate(kept)]).alias("row"), docs[id_column].alias("id"), text_of(docs, text_column).alias("body"))
+        out = shard_rows(rows, work, shards, slots, versions)
+        out = out.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(kept)], *[F.col(v).alias(k) for k, v in results.items()])
+        out = work.put(out, "shards")
+        work.clear("shards", "slot-map")
+        return out
