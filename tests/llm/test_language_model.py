@@ -59,3 +59,15 @@ def test_nothing_to_learn(docs, rows):
 
     out = score_documents(docs, F.lit(False)).collect()
     assert len(out) == len(rows) and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in out)
+
+
+def test_long_regular_words_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word, True), (2, word.translate(str.maketrans("ab", "ba")), False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, trained boolean")
+    out = {r["doc_id"]: (r["n_tokens"], r["n_known"], r["train_tokens"]) for r in score_documents(docs, F.col("trained")).collect()}
+    assert out == {1: (2, 2, 2), 2: (2, 1, 2)}

@@ -152,3 +152,26 @@ def test_hub_of_a_region_of_many_stretches(spark):
         assert met.max() == 599
         near = {(int(x), int(x) + k) for k in (1, 2, 3) for x in uid[: 600 - k]}
         assert near <= pairs
+
+
+def test_kept_of_the_query_is_by_id(spark, tmp_path):
+    """Repeated ids: all rows of the component's smallest id are kept there; one row is marked in another column."""
+    from weftlink.llm.queries import op1_minhash_forest
+
+    text = "a b c d e f g"
+    docs = spark.createDataFrame([(1, text, "en", "s", 3), (1, text, "en", "s", 3), (2, text, "en", "s", 3), (None, "q r s", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = sorted(map(str, op1_minhash_forest(spark, str(tmp_path)).select("doc_id", "component_id", "kept").collect()))
+    assert out == sorted(map(str, spark.createDataFrame([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)], "doc_id long, component_id long, kept boolean").collect()))
+    assert op1_minhash_forest(spark, str(tmp_path)).where("kept_row").count() == 2
+
+
+def test_long_regular_words_are_told_apart(spark):
+    """Words whose polynomial hashes agree modulo a power of two: their sets are not equal."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} one two three four five"), (2, f"{other} one two three four five"), (3, word), (4, other)]
+    out = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: 1, 2: 2, 3: 3, 4: 4}

@@ -21,7 +21,8 @@ from .sharding import shard_documents
 
 
 def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+    out = near_duplicates(read_documents(spark, sf_dir))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("kept").alias("kept_row"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard_documents(read_documents(spark, sf_dir), shards=16, slots=8192)
+    out = shard_documents(read_documents(spark, sf_dir), shards=16, slots=8192, columns=["doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
