@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -93,3 +94,34 @@ def test_no_words_at_all(spark, text):
 def test_empty(empty):
     assert mix_sources(empty).count() == 0
     assert apply_mix(empty).count() == 0
+
+
+def test_rates_are_the_exponential_tilt(spark):
+    """In each source log(rate) is in proportion to the size, up to the ceiling, and expected words are the target."""
+    rows = [(i, " ".join(["w"] * (1 + i * i % 91)), f"s{i % 4}") for i in range(2000)] + [(5000 + i, " ".join(["w"] * (5 + i)), "z") for i in range(20)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    slopes, expected, target = defaultdict(list), Counter(), {}
+    for r in out:
+        assert math.floor(r["rate"] + 1e-6) <= r["copies"] <= math.ceil(r["rate"] - 1e-6)
+        expected[r["source"]] += r["rate"] * r["size"]
+        target[r["source"]] = r["target"]
+        if r["rate"] < 3 - 1e-9:
+            slopes[r["source"]].append(math.log(r["rate"]) / r["size"])
+    assert all(abs(expected[s] - t) <= 1e-5 * t for s, t in target.items())
+    assert all(max(x) - min(x) < 1e-9 for x in slopes.values()) and len(slopes) >= 3
+
+
+def test_chance_of_one_more_copy_is_the_part(spark):
+    """Of documents of one size the share with one more copy is the rest of the rate, within sampling error."""
+    rows = [(i, " ".join(["w"] * (10, 40)[i % 2]), "ab"[i % 3 == 0]) for i in range(6000)]
+    groups = defaultdict(list)
+    for r in mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        groups[r["source"], r["size"], round(r["rate"], 9)].append(r["copies"])
+    assert len(groups) == 4 and all(abs(sum(x) / len(x) - rate) < 0.06 for (_, _, rate), x in groups.items())
+
+
+def test_names_of_the_inside(spark):
+    names = ["_sum", "_rows", "_size", "_n", "_copy", "_id", "_source", "_words", "row", "uid", "copies", "id", "size", "bin", "key", "c0", "rate"]
+    docs = spark.createDataFrame([(i, "a b", "s", *names) for i in range(3)], ["doc_id", "text", "source", *names])
+    out = apply_mix(docs)
+    assert out.columns == docs.columns and out.count() == 3 and all([r[c] for c in names] == names for r in out.collect())
