@@ -59,3 +59,10 @@ def test_empty(empty):
 def test_partitions_do_not_matter(docs, parts):
     shown = lambda d: sorted(map(str, exact_duplicates(d).drop("uid", "kept").collect()))
     assert shown(docs.repartition(parts)) == shown(docs)
+
+
+def test_names_of_the_inside(spark):
+    names = ["_sha", "_id", "_keep", "_sha2", "row", "id", "sha", "print", "uid", "n", "body", "first", "c0", "d_id"]
+    docs = spark.createDataFrame([(i, "a b", *names) for i in (3, 1, 1)], ["doc_id", "text", *names])
+    out = drop_exact_duplicates(docs)
+    assert out.columns == docs.columns and [(r["doc_id"], [r[c] for c in names]) for r in out.collect()] == [(1, names)]

@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITE, Workspace, text_of
@@ -115,8 +115,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     that id just one stays. An empty table gives an empty result. Other columns are not read, so
     their names cannot clash. Every row, whole texts: nothing is sampled or capped.
     """
-    spark: SparkSession = docs.sparkSession
-    work = Workspace(spark, "exact-dedup")
+    work = Workspace(docs.sparkSession, "exact-dedup")
     normal = F.regexp_replace(text_of(docs, text_column), WHITE, " ")
     base = docs.select(docs[id_column].alias("doc_id"), normal.alias("body")).withColumn("sha", F.unhex(F.sha2("body", 256)))
     first64 = F.conv(F.substring(F.hex("sha"), 1, 15), 16, 10).cast("long")  # 60 bits
@@ -139,6 +138,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
     first = ledger.join(groups, "sha").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     first = work.put(first.groupBy("sha").agg(F.min("uid").alias("keep_uid"), F.first("n").alias("n"), F.first("keep_id").alias("keep_id")), "first")
+    work.clear("ledger", "first")
     out = ledger.join(first, "sha", "left")
     return out.select(
         ledger["doc_id"],
@@ -151,15 +151,17 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 
 def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, whose text no row with a smaller id has.
+    """The rows of ``docs``, with all columns, of any names, whose text no row with a smaller id has.
 
-    Of repeated rows (same id, equal text) one stays, whichever: its other columns may differ.
+    Null texts are empty and one group; null ids come last. Of repeated rows (same id, equal text) one stays, whichever: its
+    other columns may differ. An empty table gives an empty one.
     """
     marked = exact_duplicates(docs, id_column, text_column)
-    dropped = marked.where("not kept").select(F.col("doc_id").alias("_id"), F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha2"))
-    left = docs.withColumn("_sha", F.sha2(F.regexp_replace(text_of(docs, text_column), WHITE, " "), 256))
-    if not dropped.where(F.col("_id").eqNullSafe(F.col("_keep"))).isEmpty():  # repeated rows, seldom
-        left = left.dropDuplicates([id_column, "_sha"])
-    others = dropped.where(~F.col("_id").eqNullSafe(F.col("_keep")))
-    on = left[id_column].eqNullSafe(others["_id"]) & (left["_sha"] == others["_sha2"])
-    return left.join(others, on, "left_anti").drop("_sha")
+    dropped = marked.where("not kept").select(F.col("doc_id").alias("d_id"), F.col("keep_id").alias("d_keep"), F.col("text_sha256").alias("d_sha"))
+    row = F.struct(F.lit(0).alias("none"), *[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    left = docs.select(row.alias("row"), docs[id_column].alias("id"), F.sha2(F.regexp_replace(text_of(docs, text_column), WHITE, " "), 256).alias("sha"))
+    if not dropped.where(F.col("d_id").eqNullSafe(F.col("d_keep"))).isEmpty():  # repeated rows, seldom
+        left = left.dropDuplicates(["id", "sha"])
+    others = dropped.where(~F.col("d_id").eqNullSafe(F.col("d_keep")))
+    kept = left.join(others, left["id"].eqNullSafe(others["d_id"]) & (left["sha"] == others["d_sha"]), "left_anti")
+    return kept.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
