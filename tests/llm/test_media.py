@@ -104,3 +104,18 @@ def test_texts(docs, rows, empty):
         want.append((str(r[0]), len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(media), hashlib.sha256(media).hexdigest()))
     assert sorted(want) == sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) for r in out)
     assert text_media(empty).count() == 0
+
+
+def test_bands_do_not_matter():
+    image = np.random.default_rng(4).integers(0, 256, (333, 64)).astype(np.uint8)
+    whole = area_resize(image, 8, 9)
+    assert all(np.allclose(area_resize(image, 8, 9, band), whole) for band in (1, 64, 130, 64 * 50)) and np.isclose(whole.mean(), image.mean())
+
+
+def test_hash_of_a_long_text_is_bounded():
+    import tracemalloc
+
+    image = np.zeros((1 << 19, 64), dtype=np.uint8)  # 32 MB
+    tracemalloc.start()
+    difference_hash(image)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20

@@ -104,30 +104,44 @@ def decode_image(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+def area_resize(image: np.ndarray, height: int, width: int, band: int = 1 << 20) -> np.ndarray:
     """Mean of the area that each target pixel covers, in doubles; fractions of source pixels count in part.
 
-    The integral image is read at fractional corners by linear interpolation, which is exact for it.
+    The integral image is read at fractional corners by linear interpolation, which is exact for it. It is made in bands of
+    about ``band`` samples, of which only the rows at corners are kept, so memory beyond the image is bounded.
     """
-    whole = image.astype(np.float64)
-    sums = np.zeros((whole.shape[0] + 1, whole.shape[1] + 1, *whole.shape[2:]))
-    np.cumsum(np.cumsum(whole, axis=0), axis=1, out=sums[1:, 1:])
-
-    def along(table: np.ndarray, n: int) -> np.ndarray:
-        at = np.arange(n + 1) * ((table.shape[0] - 1) / n)
-        low = np.minimum(at.astype(np.int64), table.shape[0] - 2)
-        part = (at - low).reshape(-1, *[1] * (table.ndim - 1))
-        return table[low] * (1 - part) + table[low + 1] * part
-
-    corners = along(along(sums, height).swapaxes(0, 1), width).swapaxes(0, 1)
-    total = corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]
-    return total / (image.shape[0] / height * image.shape[1] / width)
+    rows, columns = image.shape[:2]
+
+    def corners(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(n + 1) * (size / n)
+        low = np.minimum(at.astype(np.int64), size - 1)
+        return low, at - low
+
+    low, part = corners(height, rows)
+    needed = np.unique(np.concatenate([low, low + 1]))
+    kept = np.zeros((len(needed), columns + 1, *image.shape[2:]))
+    above, step = np.zeros((columns, *image.shape[2:])), max(1, band // max(columns, 1))
+    for top in range(0, rows, step):
+        sums = np.cumsum(image[top : top + step], axis=0, dtype=np.float64)
+        sums += above
+        above = sums[-1].copy()
+        first, last = np.searchsorted(needed, [top + 1, top + len(sums) + 1])  # row r of the integral ends before row r of the image
+        kept[first:last, 1:] = np.cumsum(sums[needed[first:last] - top - 1], axis=1)
+    shape = (-1, *[1] * (kept.ndim - 1))
+    upper = kept[np.searchsorted(needed, low)] * (1 - part).reshape(shape) + kept[np.searchsorted(needed, low + 1)] * part.reshape(shape)
+    low, part = corners(width, columns)
+    part = part.reshape(1, -1, *[1] * (kept.ndim - 2))
+    table = upper[:, low] * (1 - part) + upper[:, low + 1] * part
+    total = table[1:, 1:] - table[:-1, 1:] - table[1:, :-1] + table[:-1, :-1]
+    return total / (rows / height * columns / width)
 
 
 def difference_hash(image: np.ndarray) -> str:
     """16 hexadecimal digits: bit set where a pixel of the 9 x 8 thumbnail is darker than its right neighbour."""
-    grey = image if image.ndim == 2 else image[..., :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])
-    small = np.round(area_resize(grey, 8, 9), 6)
+    small = area_resize(image, 8, 9)
+    if image.ndim == 3:  # grey of means is the mean of greys
+        small = small[..., :3] @ np.array([0.299, 0.587, 0.114])
+    small = np.round(small, 6)
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
@@ -144,7 +158,8 @@ def from_npy(data: bytes) -> np.ndarray:
 def image_tiles(images: DataFrame, column: str = "image", tile: tuple[int, int] | None = (64, 64)) -> DataFrame:
     """``images`` with ``tile`` (NPY bytes), ``dhash`` and ``problem``; ``tile=None`` keeps the decoded samples.
 
-    Null or broken images get a null tile and hash and say why in ``problem``; the row stays.
+    Null or broken images get a null tile and hash and say why in ``problem``; the row stays. Images of any size are read whole;
+    repeated rows are returned as often as they come; an empty table gives no rows. Columns named as results are replaced.
     """
     names = [n for n in images.columns if n not in ("tile", "dhash", "problem")]
     out = images.select(*[images[n] for n in names]).schema
