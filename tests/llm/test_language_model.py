@@ -3,10 +3,12 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from weftlink.llm.language_id import id_fold
-from weftlink.llm.language_model import learn_weights, score_documents
+from weftlink.llm.language_model import BUCKETS, language_model, learn_weights, score_documents
 
 
 def tokens(text):
@@ -34,20 +36,41 @@ def test_counts_and_base(scored, rows):
     assert sorted(got) == sorted(want)
 
 
-def test_scores_are_a_mixture(scored, rows):
-    """Of each known pair, the same mixture of its three estimates; better than the base in all."""
+def test_scores_by_brute_force(docs, rows):
+    """Each text's score is the mixture of its estimates from plain counts of triples, pairs and words, with the learned weights."""
+    scored, weights = language_model(docs, id_fold(docs["doc_id"], 7) != 2)
+    assert np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all()
+    counts, texts = [Counter() for _ in range(4)], 0
+    for r in rows:
+        if trained(r[0]):
+            own, texts = ["<", "<", *tokens(r[1])], texts + 1
+            for n in (1, 2, 3):
+                counts[n].update(tuple(own[i - n + 1 : i + 1]) for i in range(2, len(own)))
+    n, v = sum(counts[1].values()), len(counts[1])
+    step = lambda x: min(int(math.floor(math.log2(x))) + 1, BUCKETS - 1)
+    want = []
+    for r in rows:
+        own, score = ["<", "<", *tokens(r[1])], 0.0
+        for i in range(2, len(own)):
+            last = texts if own[i - 1] == "<" else counts[1][(own[i - 1],)]
+            two = texts if own[i - 1] == "<" else counts[2][(own[i - 2], own[i - 1])]
+            w = weights[BUCKETS + step(two) if two else step(last) if last else 0]
+            shares = [counts[3][tuple(own[i - 2 : i + 1])] / max(two, 1), counts[2][(own[i - 1], own[i])] / max(last, 1), counts[1][(own[i],)] / n, 1 / (v + 1)]
+            score += math.log10(sum(a * b for a, b in zip(w, shares, strict=True)))
+        want.append((str(r[0]), round(score, 6)))
+    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in scored.collect()) == sorted(want)
+
+
+def test_better_than_the_base(scored, rows):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in scored)
     assert sum(r["score"] for r in scored) > sum(r["base_score"] for r in scored)
 
 
-def test_chances_sum_to_one():
-    import numpy as np
-    import pandas as pd
-
-    cells = pd.DataFrame({"bucket": [1, 1, 3], "n": [5, 2, 9], "pair": [2.0, 0.0, 8.0], "word": [0.1, 0.2, 0.3]})
+def test_weights_follow_the_held_out_counts():
+    cells = pd.DataFrame({"bucket": [BUCKETS + 1, BUCKETS + 1, BUCKETS + 3, 2], "n": [5, 2, 9, 4], "triple": [1.0, 0.0, 8.0, 0.0], "pair": [2.0, 0.0, 1.0, 3.0], "word": [0.1, 0.2, 0.3, 0.1]})
     weights = learn_weights(cells, 1e-4)
-    assert np.allclose(weights.sum(axis=1), 1) and (weights[1:] > 0).all() and weights[0, 0] == 0
-    assert weights[3, 0] > weights[1, 0]
+    assert np.allclose(weights.sum(axis=1), 1) and (weights[BUCKETS:] > 0).all()
+    assert (weights[:BUCKETS, 0] == 0).all() and weights[0, 1] == 0 and weights[BUCKETS + 3, 0] > weights[BUCKETS + 1, 0] and weights[2, 1] > 0.5
 
 
 def test_empty(empty):

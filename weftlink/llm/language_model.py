@@ -1,14 +1,15 @@
-"""A bigram language model by deleted interpolation.
-
-Maximum-likelihood estimates of a word after its predecessor, of the word alone, and a uniform one are mixed; the
-weights depend on a bucket of the predecessor's frequency. They are learned by expectation-maximisation on held-out
-counts: the words of a fixed tenth of the corpus's chunks, whose own words are deleted from all counts they are
-judged by. Counts come from every training document.
-
-Plan: parts of chunks send their distinct words and pairs, as 64-bit hashes with counts, to owners of hash ranges; owners
-answer with totals over the corpus. A part names a pair once however often it has it, so frequent words and
-pairs are no hot keys. Chunks are then read again with their answers, once for the tenth and once for the scores.
-Driver and model hold a few numbers for each of about forty buckets.
+"""A trigram language model by deleted interpolation.
+
+Maximum-likelihood estimates of a word after its two predecessors, after the last one, of the word alone, and a uniform one are
+mixed; the weights depend on a bucket of the context's frequency: that of the two predecessors, or of the last one where the
+two never came. They are learned by expectation-maximisation on held-out counts: each part of the corpus is judged by the counts
+of all the others, its own deleted. Counts come from every training document.
+
+Plan: parts of chunks send their distinct words, pairs and triples, as hashes with counts, to owners of hash ranges; owners
+answer with totals over the corpus. A part names a triple once however often it has it, so frequent words and
+triples are no hot keys. Chunks are then read again with their answers, once for the cells and once for the scores.
+Driver and model hold a few numbers for each of about a hundred buckets. Words are 64-bit hashes; those of pairs and triples have
+``SPARE_BITS`` bits more than the number of tokens has, so one in 16 million shares its count with another.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .common import Workspace, text_of
 from .grams import mix, text_buffers, words_of
 
 END, BEGIN = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
-BUCKETS, HELD_FOLD = 48, 10
+BUCKETS, ORDERS, SPARE_BITS = 48, 3, 24
 
 
 def _tokens(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,13 +41,22 @@ def _tokens(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, before, at
 
 
-def _keys(tokens: np.ndarray, before: np.ndarray, starts: np.ndarray) -> dict[int, np.ndarray]:
-    """Keys by order: words (with one BEGIN a text, the context count of first words), and pairs."""
+def _keys(tokens: np.ndarray, before: np.ndarray, starts: np.ndarray, width: int) -> dict[int, np.ndarray]:
+    """Keys by order: words (with one BEGIN a text, the context count of first words), pairs and triples; high bits decide the owner."""
     begun = np.full(len(starts) - 1, BEGIN)
-    return {1: np.concatenate([tokens, begun]), 2: mix(before * np.uint64(0xD6E8FEB86659FD93) + tokens)}
+    short = ~np.uint64((1 << (64 - width)) - 1)
+    pairs = mix(before * np.uint64(0xD6E8FEB86659FD93) + tokens)
+    last = np.empty_like(pairs)  # the pair that ends with the predecessor
+    last[1:] = pairs[:-1]
+    last[starts[:-1]] = BEGIN
+    return {1: np.concatenate([tokens, begun]), 2: pairs & short, 3: mix(last * np.uint64(0xA24BAED4963EE407) + tokens) & short}
+
+
+def _packed(order: int, keys: np.ndarray, width: int) -> bytes:
+    return pack_keys(keys if order == 1 else keys >> np.uint64(64 - width))
 
 
-def _send(bits: int):
+def _send(bits: int, width: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, low, high, rows in parts_of(batch):
@@ -54,11 +64,11 @@ def _send(bits: int):
                 trained = np.asarray(rows.column("trained").to_numpy(zero_copy_only=False), dtype=bool)
                 weight = np.repeat(trained, np.diff(starts))
                 out: list[tuple] = []
-                for order, keys in _keys(tokens, before, starts).items():
+                for order, keys in _keys(tokens, before, starts, width).items():
                     distinct, inverse = np.unique(keys, return_inverse=True)
                     counts = np.bincount(inverse, np.append(weight, trained) if order == 1 else weight, len(distinct)).astype(np.int64)
                     owners, cuts = by_owner(distinct, bits)
-                    out += [(order * (1 << bits) + int(o), chunk, low, high, pack_keys(distinct[a:b]), pack_numbers(counts[a:b])) for o, a, b in zip(owners, cuts[:-1], cuts[1:], strict=True)]
+                    out += [(order * (1 << bits) + int(o), chunk, low, high, _packed(order, distinct[a:b], width), pack_numbers(counts[a:b])) for o, a, b in zip(owners, cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.binary(),) * 2, strict=True)], ["owner", "chunk", "low", "high", "keys", "counts"])
 
     return send
@@ -83,8 +93,8 @@ def _answer(bits: int):
     return answer
 
 
-def _parts_with_totals(rows: pa.Table, answers: pa.Table, bits: int) -> Iterator[tuple]:
-    """For each part: its rows, token starts, and by token: word and context totals, pair totals, and own counts."""
+def _parts_with_totals(rows: pa.Table, answers: pa.Table, bits: int, width: int) -> Iterator[tuple]:
+    """For each part: its rows, token starts, and by token the totals and the own counts of word, last one, pair, pair before, triple."""
     rows = rows.sort_by("uid")
     uid = rows.column("uid").to_numpy()
     answers = answers.sort_by([("low", "ascending"), ("owner", "ascending")])
@@ -98,43 +108,51 @@ def _parts_with_totals(rows: pa.Table, answers: pa.Table, bits: int) -> Iterator
         weight = np.repeat(trained, np.diff(starts))
         order = answers.column("owner").to_numpy()[mine] >> bits
         found = {}
-        for k, keys in _keys(tokens, before, starts).items():
+        for k, keys in _keys(tokens, before, starts, width).items():
             distinct, inverse = np.unique(keys, return_inverse=True)
             total = np.concatenate([unpack_numbers(answers.column("totals")[int(i)].as_py()) for i in mine[order == k]])
             own = np.bincount(inverse, np.append(weight, trained) if k == 1 else weight, len(distinct)).astype(np.int64)
             found[k] = (distinct, inverse, total, own)
-        distinct, inverse, total, own = found[1]
-        word = inverse[: len(tokens)]
-        context = np.empty_like(word)
-        context[1:] = word[:-1]
+        distinct, inverse = found[1][:2]
+        word, pair, triple = inverse[: len(tokens)], found[2][1], found[3][1]
         begun = int(np.searchsorted(distinct, BEGIN))
-        context[starts[:-1]] = begun
-        _, pair, pair_total, pair_own = found[2]
-        yield part, starts, trained, weight, (total[word], total[context], pair_total[pair]), (own[word], own[context], pair_own[pair])
 
+        def of(k: int, first: np.ndarray = starts[:-1], word=word, pair=pair, triple=triple, found=found, begun=begun) -> tuple[np.ndarray, ...]:
+            words, pairs, triples = found[1][k], found[2][k], found[3][k]
+            last, two = np.empty(len(word), dtype=np.int64), np.empty(len(word), dtype=np.int64)
+            last[1:], two[1:] = words[word[:-1]], pairs[pair[:-1]]
+            last[first] = two[first] = words[begun]
+            return words[word], last, pairs[pair], two, triples[triple]
 
-def bucket_of(context: np.ndarray) -> np.ndarray:
-    """Bucket of a context's frequency: 0 for none, then a step for each doubling."""
-    out = np.zeros(len(context), dtype=np.int64)
-    some = context > 0
-    out[some] = np.minimum(np.floor(np.log2(context[some])).astype(np.int64) + 1, BUCKETS - 1)
-    return out
+        yield part, starts, trained, weight, of(2), of(3)
+
+
+def bucket_of(two: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Bucket of a context: a step for each doubling of the frequency of both predecessors, or, below those steps, of the last one; 0 for none."""
+    step = lambda x: np.minimum(np.floor(np.log2(np.maximum(x, 1))).astype(np.int64) + 1, BUCKETS - 1)
+    return np.where(two > 0, BUCKETS + step(two), np.where(last > 0, step(last), 0))
 
 
 def _level(share: np.ndarray) -> np.ndarray:
-    """Step of a tenth of a decade; -1 for nothing."""
-    return np.where(share > 0, np.floor(-10 * np.log10(np.maximum(share, 1e-12))), -1).astype(np.int64)
+    """Step of a quarter of a decade; -1 for nothing."""
+    return np.where(share > 0, np.floor(-4 * np.log10(np.maximum(share, 1e-12))), -1).astype(np.int64)
+
+
+def shares_of(counts: tuple[np.ndarray, ...], tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximum-likelihood estimates of order 3, 2 and 1; 0 where the context never came."""
+    word, last, pair, two, triple = counts
+    return triple / np.maximum(two, 1), pair / np.maximum(last, 1), word / max(tokens, 1)
 
 
 def learn_weights(cells: pd.DataFrame, uniform: float, rounds: int = 60) -> np.ndarray:
-    """Mixture weights (pair, word, uniform) of each bucket, by expectation-maximisation over cells of held-out counts.
+    """Mixture weights (triple, pair, word, uniform) of each bucket, by expectation-maximisation over cells of held-out counts.
 
-    A cell is a number of held-out tokens of one bucket with nearly equal estimates, and their mean estimates.
-    Buckets without held-out tokens take the weights of all together; bucket 0 has no pair estimate.
+    A cell is a number ``n`` of held-out tokens of one bucket with nearly equal estimates, and the sums of their estimates.
+    Buckets without held-out tokens take the weights of all together; estimates that a bucket cannot have get no weight.
     """
     def fit(some: pd.DataFrame, start: np.ndarray) -> np.ndarray:
         weights, n = start.copy(), some["n"].to_numpy(dtype=np.float64)
-        shares = np.column_stack([some["pair"] / n, some["word"] / n, np.full(len(some), uniform)])
+        shares = np.column_stack([some["triple"] / n, some["pair"] / n, some["word"] / n, np.full(len(some), uniform)])
         for _ in range(rounds):
             joint = shares * weights
             total = np.maximum(joint.sum(axis=1), 1e-300)
@@ -142,67 +160,66 @@ def learn_weights(cells: pd.DataFrame, uniform: float, rounds: int = 60) -> np.n
         weights = np.maximum(weights, 1e-6)
         return weights / weights.sum()
 
-    start = np.array([0.4, 0.4, 0.2])
+    start = np.array([0.3, 0.3, 0.3, 0.1])
     overall = fit(cells, start) if len(cells) else start
-    out = np.tile(overall, (BUCKETS, 1))
+    out = np.tile(overall, (2 * BUCKETS, 1))
     for bucket, some in cells.groupby("bucket"):
         out[int(bucket)] = fit(some, overall)
-    out[0, 0] = 0.0
-    out[0] /= out[0].sum()
-    return out
+    out[:BUCKETS, 0] = 0.0
+    out[0, 1] = 0.0
+    return out / out.sum(axis=1, keepdims=True)
 
 
 def score_documents(docs: DataFrame, trained, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
-    ``trained``: a boolean column, true where the row is learned from. ``base_score`` is that of add-one unigrams.
-    Tokens are the words of the lower-cased (A-Z) text and one end. A null text is just an end; repeated rows
-    count as often as they come; an empty table gives no rows; other columns are not read.
+    ``trained``: a boolean column, true where the row is learned from (null: false). ``base_score`` is that of add-one unigrams.
+    Tokens are the words of the lower-cased (A-Z) text and one end. A null text is just an end; null ids are scored; repeated rows
+    count as often as they come; an empty table gives no rows; other columns are not read. What SQL could express of this, the
+    counts and ``base_score``, tests compare with plain Python; scores too, with the model's weights.
     """
-    work = Workspace(docs.sparkSession, "language-model")
-    plain = docs.select(docs[id_column].alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"), text_of(docs, text_column).alias("body"))
-    corpus, size = write_chunks(plain, F.col("body"), work)
-    bits = owner_bits(size / 6)
-    kind = corpus.schema["doc_id"].dataType.simpleString()
-    sent = corpus.select("chunk", "uid", "trained", "body").mapInArrow(_send(bits), "owner long, chunk long, low long, high long, keys binary, counts binary")
-    answers = work.put(sent.groupBy("owner").applyInArrow(_answer(bits), "owner long, chunk long, low long, high long, totals binary, words long, known long"), "answers", "zstd")
-    train_tokens, vocabulary = (x or 0 for x in answers.agg(F.sum("words"), F.sum("known")).first())
-    uniform = 1.0 / (vocabulary + 1)
-
-    def held_out(rows: pa.Table, found: pa.Table) -> pa.Table:
-        every = []
-        for _, _, _, weight, totals, own in _parts_with_totals(rows, found, bits):
-            word, context, pair = (t[weight] - o[weight] for t, o in zip(totals, own, strict=True))
-            share2 = pair / np.maximum(context, 1)
-            share1 = word / max(train_tokens - int(weight.sum()), 1)
-            every.append(pd.DataFrame({"bucket": bucket_of(context), "a": _level(share2), "b": _level(share1), "n": 1, "pair": share2, "word": share1}).groupby(["bucket", "a", "b"], as_index=False).sum())
-        cells = pd.concat(every) if every else pd.DataFrame({c: [] for c in ("bucket", "a", "b", "n", "pair", "word")})
-        kinds = {"bucket": np.int64, "a": np.int64, "b": np.int64, "n": np.int64, "pair": np.float64, "word": np.float64}
-        return pa.Table.from_pandas(cells.astype(kinds), preserve_index=False)
-
-    def cells_of(fold) -> pd.DataFrame:
-        rows, found = corpus.where(fold).drop("doc_id"), answers.where(fold).drop("words", "known")
-        cells = rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(held_out, "bucket long, a long, b long, n long, pair double, word double")
-        return cells.groupBy("bucket", "a", "b").agg(F.sum("n").alias("n"), F.sum("pair").alias("pair"), F.sum("word").alias("word")).toPandas()  # cells, not tokens: bounded
-
-    cells = cells_of(F.pmod(F.xxhash64("chunk"), F.lit(HELD_FOLD)) == 0)
-    if not cells["n"].sum():  # a corpus of so few chunks that none is in the tenth
-        cells = cells_of(F.lit(True))
-    weights = learn_weights(cells, uniform)
-
-    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
-        outs = []
-        for part, starts, _, _, (word, context, pair), _ in _parts_with_totals(rows, found, bits):
-            mixed = weights[bucket_of(context)]
-            chance = mixed[:, 0] * pair / np.maximum(context, 1) + mixed[:, 1] * word / max(train_tokens, 1) + mixed[:, 2] * uniform
-            base = np.log10((word + 1) / (train_tokens + vocabulary + 1))
-            sums = [np.add.reduceat(x, starts[:-1]) for x in ((word > 0).astype(np.int64), base, np.log10(chance))]
-            outs.append(pa.table({"doc_id": part.column("doc_id"), "n_tokens": np.diff(starts), "n_known": sums[0], "train_tokens": np.full(len(part), train_tokens, np.int64), "base_score": sums[1], "score": sums[2]}))
-        return pa.concat_tables(outs)
-
-    scored = corpus.groupBy("chunk").cogroup(answers.drop("words", "known").groupBy("chunk")).applyInArrow(
-        score, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
-    out = work.put(scored, "scores")
-    work.clear("scores")
-    return out
+    return language_model(docs, trained, id_column, text_column)[0]
+
+
+def language_model(docs: DataFrame, trained, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, np.ndarray]:
+    """The rows of ``score_documents``, and the weights of the mixture by bucket."""
+    with Workspace(docs.sparkSession, "language-model") as work:
+        plain = docs.select(docs[id_column].alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"), text_of(docs, text_column).alias("body"))
+        corpus, size = write_chunks(plain, F.col("body"), work)
+        bits, width = owner_bits(size / 6), min(64, int(size / 6).bit_length() + SPARE_BITS)
+        kind = corpus.schema["doc_id"].dataType.simpleString()
+        sent = corpus.select("chunk", "uid", "trained", "body").mapInArrow(_send(bits, width), "owner long, chunk long, low long, high long, keys binary, counts binary")
+        answers = work.put(sent.groupBy("owner").applyInArrow(_answer(bits), "owner long, chunk long, low long, high long, totals binary, words long, known long"), "answers", "zstd")
+        train_tokens, vocabulary = (x or 0 for x in answers.agg(F.sum("words"), F.sum("known")).first())
+        uniform = 1.0 / (vocabulary + 1)
+        found = answers.drop("words", "known").groupBy("chunk")
+
+        def held_out(rows: pa.Table, found: pa.Table) -> pa.Table:
+            every = []
+            for _, _, _, weight, totals, own in _parts_with_totals(rows, found, bits, width):
+                counts = tuple(t[weight] - o[weight] for t, o in zip(totals, own, strict=True))
+                triple, pair, word = shares_of(counts, train_tokens - int(weight.sum()))
+                cell = pd.DataFrame({"bucket": bucket_of(counts[3], counts[1]), "a": _level(triple), "b": _level(pair), "c": _level(word), "n": 1, "triple": triple, "pair": pair, "word": word})
+                every.append(cell.groupby(["bucket", "a", "b", "c"], as_index=False).sum())
+            cells = pd.concat(every).groupby(["bucket", "a", "b", "c"], as_index=False).sum()
+            return pa.Table.from_pandas(cells.astype({c: np.float64 if c in ("triple", "pair", "word") else np.int64 for c in cells}), preserve_index=False)
+
+        schema = "bucket long, a long, b long, c long, n long, triple double, pair double, word double"
+        cells = corpus.drop("doc_id").groupBy("chunk").cogroup(found).applyInArrow(held_out, schema)
+        cells = cells.groupBy("bucket", "a", "b", "c").agg(*[F.sum(x).alias(x) for x in ("n", "triple", "pair", "word")])
+        weights = learn_weights(cells.toPandas(), uniform)  # cells, not tokens: bounded by the steps of three estimates
+
+        def score(rows: pa.Table, found: pa.Table) -> pa.Table:
+            outs = []
+            for part, starts, _, _, counts, _ in _parts_with_totals(rows, found, bits, width):
+                mixed = weights[bucket_of(counts[3], counts[1])]
+                chance = sum((mixed[:, k] * x for k, x in enumerate(shares_of(counts, train_tokens))), mixed[:, 3] * uniform)
+                base = np.log10((counts[0] + 1) / (train_tokens + vocabulary + 1))
+                sums = [np.add.reduceat(x, starts[:-1]) for x in ((counts[0] > 0).astype(np.int64), base, np.log10(chance))]
+                outs.append(pa.table({"doc_id": part.column("doc_id"), "n_tokens": np.diff(starts), "n_known": sums[0], "train_tokens": np.full(len(part), train_tokens, np.int64), "base_score": sums[1], "score": sums[2]}))
+            return pa.concat_tables(outs)
+
+        scored = corpus.groupBy("chunk").cogroup(found).applyInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        out = work.put(scored, "scores")
+        work.clear("scores")
+        return out, weights
