@@ -103,6 +103,12 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return every, np.searchsorted(place, offsets)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    out = np.sort(values)
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow column of texts or binaries without nulls."""
     if isinstance(column, pa.ChunkedArray):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .chunks import pack_keys, unpack_keys, write_chunks
 from .common import Workspace, partitions, text_of
 from .components import connected
-from .grams import mix, run_hashes, text_buffers, words_of
+from .grams import distinct, mix, run_hashes, text_buffers, words_of
 
 MINIMA, TREES, REGION_LEVELS, LEVELS = 128, 32, 4, 12
 #: Nodes of a region that are all compared; neighbours on each side in a larger one.
@@ -69,7 +69,7 @@ def shingle_sets(bodies: pa.Array, words: int) -> Iterator[np.ndarray]:
     every, starts = words_of(*text_buffers(bodies))
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         own = every[a:b]
-        yield np.unique(run_hashes(own, words) if b - a >= words else run_hashes(own, b - a) if b > a else own)
+        yield distinct(run_hashes(own, words) if b - a >= words else run_hashes(own, b - a) if b > a else own)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -383,24 +383,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_colum
     the first read. Null ids come last. Texts without words, or null, are linked with nothing and kept. An empty
     table gives no rows; other columns are not read.
     """
-    work = Workspace(docs.sparkSession, "near-dedup")
-    corpus, _ = write_chunks(_plain(docs, id_column, text_column), F.col("body"), work)
-    out = work.put(_components(corpus, work, words, percent), "result")
-    work.clear("result")
-    return out
+    with Workspace(docs.sparkSession, "near-dedup") as work:
+        corpus, _ = write_chunks(_plain(docs, id_column, text_column), F.col("body"), work)
+        out = work.put(_components(corpus, work, words, percent), "result")
+        work.clear("result")
+        return out
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, that ``near_duplicates`` keeps: one of each component."""
-    work = Workspace(docs.sparkSession, "near-dedup")
-    plain = _plain(docs, id_column, text_column, F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")).drop("body")
-    text = F.coalesce(F.col("row")[f"c{docs.columns.index(text_column)}"].cast("string"), F.lit(""))
-    corpus, _ = write_chunks(plain, text, work, derived=True)
-    kept = work.put(_components(corpus, work, words, percent), "result").where("kept").select("uid")
-    rows = corpus.join(kept, "uid", "left_semi").select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
-    out = work.put(rows, "rows-kept")
-    work.clear("rows-kept")
-    return out
+    """The rows of ``docs``, with all columns, of any names, that ``near_duplicates`` keeps: one of each component.
+
+    Null texts and texts without words stay; of repeated rows, and of rows that share the smallest id, the first read stays; null ids
+    come last. An empty table gives an empty one.
+    """
+    with Workspace(docs.sparkSession, "near-dedup") as work:
+        plain = _plain(docs, id_column, text_column, F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")).drop("body")
+        text = F.coalesce(F.col("row")[f"c{docs.columns.index(text_column)}"].cast("string"), F.lit(""))
+        corpus, _ = write_chunks(plain, text, work, derived=True)
+        kept = work.put(_components(corpus, work, words, percent), "result").where("kept").select("uid")
+        rows = corpus.join(kept, "uid", "left_semi").select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
+        out = work.put(rows, "rows-kept")
+        work.clear("rows-kept")
+        return out
 
 
 def _plain(docs: DataFrame, id_column: str, text_column: str, *more) -> DataFrame:

@@ -245,32 +245,35 @@ def pack_documents(
     more than ``capacity`` ids are cut. ``ids`` (with_ids) are little-endian unsigned 32-bit ids. Repeated rows are
     packed as often as they come; null ids are kept; an empty table gives no rows; other columns are not read.
     """
-    work = Workspace(docs.sparkSession, "packing")
-    plain = docs.select(docs[id_column].alias("doc_id"), text_of(docs, text_column).alias("body"))
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, rank long, {'ids binary, ' * with_ids}chunk int"
-    pieces = work.put(plain.mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids), schema), "pieces")
-
-    by_chunk = work.put(pieces.groupBy("length", "chunk").agg(F.count("*").alias("n")), "counts")
-    counts = np.zeros(capacity + 1, dtype=np.int64)
-    for row in by_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect():  # capacity rows at most
-        counts[row["length"]] = row["n"]
-    plan, _ = best_fit_decreasing(counts, capacity)
-    shift = np.int64(48)
-    keys = (plan[:, 0] << shift) + plan[:, 1]
-    order = np.argsort(keys)
-    keys, plan = keys[order], plan[order]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            row = plan[np.searchsorted(keys, (length << shift) + rank, side="right") - 1]
-            j = rank - row[:, 1]
-            kept = {n: batch.column(n) for n in batch.schema.names if n != "rank"}
-            yield pa.RecordBatch.from_pydict(kept | {"sequence_id": pa.array(row[:, 3] + j // row[:, 4]), "offset": pa.array(row[:, 5] + j % row[:, 4] * length)})
-
-    before = F.expr("sum(n) over (partition by length order by chunk) - n")
-    ranked = pieces.join(by_chunk.select("length", "chunk", before.alias("before")), ["length", "chunk"])
-    ids = ["ids"] if with_ids else []
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *ids, (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, {'ids binary, ' * with_ids}sequence_id long, offset long")
+    with Workspace(docs.sparkSession, "packing") as work:
+        plain = docs.select(docs[id_column].alias("doc_id"), text_of(docs, text_column).alias("body"))
+        kind = plain.schema["doc_id"].dataType.simpleString()
+        schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, rank long, {'ids binary, ' * with_ids}chunk int"
+        pieces = work.put(plain.mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids), schema), "pieces")
+
+        by_chunk = work.put(pieces.groupBy("length", "chunk").agg(F.count("*").alias("n")), "counts")
+        counts = np.zeros(capacity + 1, dtype=np.int64)
+        for row in by_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect():  # capacity rows at most
+            counts[row["length"]] = row["n"]
+        plan, _ = best_fit_decreasing(counts, capacity)
+        shift = np.int64(48)
+        keys = (plan[:, 0] << shift) + plan[:, 1]
+        order = np.argsort(keys)
+        keys, plan = keys[order], plan[order]
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+                row = plan[np.searchsorted(keys, (length << shift) + rank, side="right") - 1]
+                j = rank - row[:, 1]
+                kept = {n: batch.column(n) for n in batch.schema.names if n != "rank"}
+                yield pa.RecordBatch.from_pydict(kept | {"sequence_id": pa.array(row[:, 3] + j // row[:, 4]), "offset": pa.array(row[:, 5] + j % row[:, 4] * length)})
+
+        before = F.expr("sum(n) over (partition by length order by chunk) - n")
+        ranked = pieces.join(by_chunk.select("length", "chunk", before.alias("before")), ["length", "chunk"])
+        ids = ["ids"] if with_ids else []
+        ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *ids, (F.col("rank") + F.col("before")).alias("rank"))
+        out = ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, {'ids binary, ' * with_ids}sequence_id long, offset long")
+        out = work.put(out, "packed")
+        work.clear("packed")
+        return out
