@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from weftlink.llm.repeats import equal_classes, remove_repeats, suffix_order
+from weftlink.llm.repeats import anchors_of, equal_classes, remove_repeats, shared_windows, suffix_order
 
 
 def brute(rows, length):
@@ -71,3 +71,40 @@ def test_interval_expansion():
 
 def test_empty(empty):
     assert remove_repeats(empty).count() == 0
+
+
+def test_owners_share_the_anchors():
+    """Anchors are minima, yet no owner of a range of hashes gets much more than its share."""
+    data = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8)
+    hashes = np.concatenate([anchors_of(data[a : a + 200_000], np.array([0, 200_000]), 100)[0] for a in (0, 200_000)])
+    owners = np.bincount((hashes >> np.uint64(60)).astype(np.int64), minlength=16)
+    assert owners.min() > 0.8 * owners.mean() and owners.max() < 1.2 * owners.mean()
+
+
+def test_contexts_of_one_hash_need_equal_bytes(monkeypatch, spark):
+    """With a context hash that says nothing, only equal bytes are taken as equal."""
+    import pyarrow as pa
+
+    import weftlink.llm.repeats as repeats
+
+    kept = repeats._part_anchors
+    monkeypatch.setattr(repeats, "_part_anchors", lambda bodies, length: [x if k != 1 else x * np.uint64(0) for k, x in enumerate(kept(bodies, length))])
+    rng = np.random.default_rng(5)
+    gram = bytes(rng.integers(97, 100, 140).astype(np.uint8))
+    texts = [gram, gram[:120] + b"q" * 20, gram, gram[:139] + b"x"]
+    rows = pa.table({"chunk": pa.array([0] * 4, pa.int64()), "uid": pa.array(range(4), pa.int64()), "ord": pa.array(range(4), pa.int64()), "body": pa.array(texts, pa.binary())})
+    sent = pa.Table.from_batches(list(repeats._send(100, 2)(iter(rows.to_batches()))))
+    answers = pa.concat_tables([repeats._answer(sent.filter(pa.array(sent.column("owner").to_numpy() == k))) for k in set(sent.column("owner").to_pylist())])
+    found = repeats._contexts(100, 2, 2)(rows, answers)
+    covered = [repeats._unblob(b.as_py(), np.int64, np.int64, np.int64) for o, b in zip(found.column("owner").to_pylist(), found.column("blob"), strict=True) if o < 0]
+    assert covered and all(set(x[0].tolist()) <= {1, 2, 3} for x in covered)
+    for row, low, high in zip(*(np.concatenate(x) for x in zip(*covered, strict=True)), strict=True):
+        assert any(texts[row][low:high] == t[low:high] for t in texts[:row])
+
+
+def test_only_contexts_of_shared_windows_go_on():
+    rng = np.random.default_rng(9)
+    words = [bytes(rng.integers(97, 123, 120).astype(np.uint8)) for _ in range(6)]
+    bodies = [words[0], words[1], words[0][1:] + b"z", words[2]]
+    assert shared_windows(bodies, np.zeros(4, dtype=np.uint64), np.full(4, 21), 100).tolist() == [True, False, True, False]
+    assert not shared_windows(bodies, np.arange(4).astype(np.uint64) << np.uint64(40), np.full(4, 21), 100).any()

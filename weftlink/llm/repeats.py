@@ -9,8 +9,9 @@ windows have equal anchors at equal places. About one position in 26 is an ancho
 2. For anchors that come more than once, a part finds equal contexts (the bytes of all windows of the anchor) among its own,
    marks all but the first as repeated, and sends the first to the anchor's owner: a passage that very
    many documents share is one context a part.
-3. The owner marks all but the first of equal contexts. Where an anchor has several different contexts, it builds the
-   Burrows-Wheeler transform of all of them and expands intervals breadth-first by backward
+3. The owner marks all but the first of equal contexts. Where an anchor has several different contexts, those that have
+   a window whose hash another one has too go on (equal windows have equal hashes, so none is lost): the owner builds the
+   Burrows-Wheeler transform of them and expands intervals breadth-first by backward
    extension: boundaries of common prefixes are found by increasing value, up to ``length``. What then has
    no boundary is a class of equal windows, and all but its first are repeated.
 4. The marked stretches go back to their chunks, which cut them out.
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 from . import grams
 from .chunks import by_owner, owner_bits, pack_keys, parts_of, unpack_keys, write_chunks
 from .common import Workspace, text_of
-from .grams import mix, slices, text_buffers
+from .grams import distinct, mix, slices, text_buffers
 
 GRAM = 50
+#: Bytes that are hashed at once; bits of a place among them and a window beyond.
+BLOCK, PLACE_BITS = 1 << 18, 21
 #: Bytes of contexts an owner should get, about; bytes of them that are put into one transform, unless one anchor has more.
-OWNER_BYTES, TRANSFORM_BYTES = 2 << 20, 1 << 20
+OWNER_BYTES, TRANSFORM_BYTES = 8 << 20, 1 << 20
 _VALUES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -53,7 +56,7 @@ def _stretch(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of the texts ``data[offsets[k]:offsets[k + 1]]``: each anchor's hash, its context's hash, its place, its first and
-    last window, and its text's number; places count from ``offsets[0]``."""
+    last window, and its text's number; places count from ``offsets[0]``. At most ``2**PLACE_BITS`` bytes."""
     base = int(offsets[0])
     data, offsets = data[base : int(offsets[-1])], offsets - base
     n, span = len(data), length - GRAM + 1
@@ -61,35 +64,36 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     if n < length:
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none
     sums = _sums(data)
-    at = np.arange(n - GRAM + 1)
-    low = _stretch(sums, at, at + GRAM)
-    # leftmost smallest hash of each window, by doubling
-    where, width = at.astype(np.int32), 1
+    gram = (sums[GRAM:] - sums[:-GRAM]) * grams._POWERS.down[: n - GRAM + 1]
+    gram ^= gram >> np.uint64(32)
+    gram *= np.uint64(0xD6E8FEB86659FD93)
+    # high bits of the hash, then the place: the least is the leftmost smallest, of each window by doubling
+    least = (gram >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(gram), dtype=np.uint64)
+    width = 1
     while width < span:
         step = min(width, span - width)
-        right = low[step:] < low[:-step]
-        where = np.where(right, where[step:], where[:-step])
-        low = np.where(right, low[step:], low[:-step])
+        least = np.minimum(least[step:], least[:-step])
         width += step
-    text = np.searchsorted(offsets, np.arange(len(where)), side="right") - 1
-    valid = np.flatnonzero(np.arange(len(where)) + length <= offsets[text + 1])
-    if not len(valid):
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none
-    where, text = where[valid], text[valid]
-    new = np.flatnonzero((np.diff(where, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
-    first, last = valid[new], valid[np.append(new[1:], len(valid)) - 1]
-    place = where[new].astype(np.int64)
+    valid = np.arange(length, n + 1, dtype=np.int32) <= np.repeat(offsets[1:].astype(np.int32), np.diff(offsets))[: len(least)]
+    # a window that is not inside a text lies between those of two texts
+    other = least[1:] != least[:-1]
+    begins, ends = valid.copy(), valid.copy()
+    begins[1:] &= other | ~valid[:-1]
+    ends[:-1] &= other | ~valid[1:]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    place = (least[first] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
     context = mix(_stretch(sums, first, last + length) + (place - first).astype(np.uint64))
-    return low[valid[new]], context, place, first, last, text[new]
+    # minima are small numbers: mixed again, they spread over owners
+    return mix(gram[place]), context, place, first, last, np.searchsorted(offsets, first, side="right") - 1
 
 
 def _part_anchors(bodies: pa.Array, length: int) -> list[tuple[np.ndarray, ...]]:
     """The anchors of a part, a slice of texts at a time; places count from the part's first byte."""
     data, offsets = text_buffers(bodies)
     out = []
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, BLOCK):
         low, high = int(offsets[a]), int(offsets[b])
-        step = high - low if b - a > 1 else grams.BLOCK  # a long text, in stretches that share length - 1 bytes
+        step = high - low if b - a > 1 else BLOCK  # a long text, in stretches that share length - 1 bytes
         for at in range(low, max(high, low + 1), max(step, 1)):
             cut = offsets[a : b + 1] if step == high - low else np.array([at, min(at + step + length - 1, high)])
             hashes, contexts, place, first, last, text = anchors_of(data, cut, length)
@@ -102,7 +106,7 @@ def _send(length: int, bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, low, high, rows in parts_of(batch):
-                keys = np.unique(_part_anchors(rows.column("body"), length)[0])
+                keys = distinct(_part_anchors(rows.column("body"), length)[0])
                 owners, cuts = by_owner(keys, bits)
                 blobs = [pack_keys(keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 same = [pa.array(np.full(len(owners), x)) for x in (chunk, low, high)]
@@ -114,7 +118,7 @@ def _send(length: int, bits: int):
 def _answer(table: pa.Table) -> pa.Table:
     lists = [unpack_keys(x.as_py()) for x in table.column("keys")]
     every = np.sort(np.concatenate(lists))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    twice = distinct(every[1:][every[1:] == every[:-1]])
     bits = [np.packbits(np.isin(x, twice, assume_unique=True)).tobytes() for x in lists]
     return table.drop_columns(["keys"]).append_column("bits", pa.array(bits, pa.binary()))
 
@@ -136,6 +140,17 @@ _SENT = (np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64, np.uint8)
 _OUT = pa.schema([("owner", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary())])
 
 
+def _differ(data: np.ndarray, at: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether the stretch ``data[at:at + size]`` is not the other one byte by byte."""
+    out = size != other_size
+    same = np.flatnonzero(~out & (at != other))
+    n = size[same]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    unequal = data[np.repeat(at[same], n) + step] != data[np.repeat(other[same], n) + step]
+    out[same[np.repeat(np.arange(len(same)), n)[unequal]]] = True
+    return out
+
+
 def _contexts(length: int, bits: int, out_bits: int):
     def contexts(rows: pa.Table, answers: pa.Table) -> pa.Table:
         """Rows to owners (owner >= 0), and covered stretches (uid, start, end) found here (owner -1)."""
@@ -163,6 +178,8 @@ def _contexts(length: int, bits: int, out_bits: int):
             rank = np.lexsort((start, row, order, context, hashes))
             head = np.ones(len(rank), dtype=bool)
             head[1:] = (context[rank][1:] != context[rank][:-1]) | (hashes[rank][1:] != hashes[rank][:-1])
+            model = rank[np.maximum.accumulate(np.where(head, np.arange(len(rank)), 0))]
+            head |= _differ(data, first[rank] + offsets[0], wide[rank] - 1 + length, first[model] + offsets[0], wide[model] - 1 + length)
             again = rank[~head]
             out.append((-1, int(rows.column("chunk")[0].as_py()), _blob(row[again], start[again], start[again] + wide[again] - 1 + length)))
             sent = rank[head]  # by hash, so by owner
@@ -187,7 +204,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << 9) | padded[k : k + n]
     known = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]] - 1) != 0)
         if known >= depth or rank[order[-1]] == n:
@@ -215,7 +232,7 @@ def equal_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     fresh = np.unique(starts[counts > 0])
     known[fresh] = True
     for _ in range(1, length):
-        found = []
+        found = []  # by code, so in order of rows
         for c, rows in places.items():
             if len(rows) > len(fresh):
                 at = np.searchsorted(rows, fresh)
@@ -223,39 +240,59 @@ def equal_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
                 since = np.searchsorted(fresh, rows, side="right")
                 at = np.flatnonzero(np.diff(since, prepend=0) > 0)
             found.append(starts[c] + at[at < len(rows)])
-        new = np.unique(np.concatenate(found)) if found else fresh[:0]
-        fresh = new[~known[new]]
+        new = np.concatenate(found) if found else fresh[:0]
+        fresh = new[(np.diff(new, prepend=-1) != 0) & ~known[new]]
         if not len(fresh):
             break
         known[fresh] = True
     return order, known[:n]
 
 
-def _repeated_windows(distinct: list[bytes], wide: np.ndarray, order: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For contexts (with the earliest place of each): number, and which of its windows come earlier elsewhere."""
-    sizes = np.array([len(x) + 1 for x in distinct])
+def repeated_windows(bodies: list[bytes], wide: np.ndarray, order: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts (with the earliest place of each): context and number of each window that comes earlier elsewhere, in that order."""
+    sizes = np.array([len(x) + 1 for x in bodies])
     ends = np.cumsum(sizes)
-    text = np.frombuffer(b"\0".join([*distinct, b""]), np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"\0".join([*bodies, b""]), np.uint8).astype(np.int64) + 1
     text[ends - 1] = 0
     rows, differs = equal_classes(text, length)
     group = np.cumsum(differs)
     begin = ends - sizes
-    context = np.searchsorted(ends, rows, side="right")
+    number = np.repeat(np.arange(len(sizes)), sizes)
+    context = number[rows]
     window = rows - begin[context]
     real = np.flatnonzero(window < wide[context])
     many = np.bincount(group[real], minlength=group[-1] + 1)
     real = real[many[group[real]] > 1]
-    if not len(real):
-        return
     context, window, group = context[real], window[real], group[real]
     rank = np.lexsort((start[context] + window, row[context], order[context], group))
     later = np.zeros(len(rank), dtype=bool)
     later[1:] = group[rank][1:] == group[rank][:-1]
     context, window = context[rank][later], window[rank][later]
-    by = np.argsort(context, kind="stable")
-    cuts = np.flatnonzero(np.diff(context[by], prepend=-1))
-    for part in np.split(by, cuts[1:]):
-        yield int(context[part[0]]), np.sort(window[part])
+    by = np.lexsort((window, context))
+    return context[by], window[by]
+
+
+def _by_bytes(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Numbers of contexts sorted by anchor, in runs of whole anchors of about ``TRANSFORM_BYTES``."""
+    heads = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, dtype=np.int64)
+    filled = (np.cumsum(sizes) - sizes)[heads] // TRANSFORM_BYTES
+    return np.split(np.arange(len(hashes)), heads[1:][np.diff(filled) > 0]) if len(hashes) else []
+
+
+def shared_windows(bodies: list[bytes], hashes: np.ndarray, wide: np.ndarray, length: int) -> np.ndarray:
+    """Of each context whether a window's hash comes again among those of its anchor; all contexts with equal windows are."""
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    sizes = wide + length - 1
+    windows = int(wide.sum())
+    context = np.repeat(np.arange(len(wide)), wide)
+    at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(wide) - wide), wide) + np.arange(windows)
+    keys = _stretch(_sums(data), at, at + length) ^ hashes[context]
+    rank = np.argsort(keys)
+    same = keys[rank][1:] == keys[rank][:-1]
+    out = np.zeros(len(wide), dtype=bool)
+    out[context[rank[1:][same]]] = True
+    out[context[rank[:-1][same]]] = True
+    return out
 
 
 def _resolve(length: int):
@@ -281,19 +318,15 @@ def _resolve(length: int):
         several = np.flatnonzero(per_hash[2][per_hash[1]] > 1)
         # anchors never share windows, so each transform takes some of them
         several = several[np.argsort(hashes[first[several]], kind="stable")]
-        filled = np.cumsum(wide[first[several]] + length) // TRANSFORM_BYTES
-        same = np.ones(len(several), dtype=bool)
-        same[1:] = hashes[first[several]][1:] != hashes[first[several]][:-1]
-        heads = np.flatnonzero(same)
-        cuts_at = heads[1:][np.diff(filled[heads]) > 0]
-        for part in np.split(several, cuts_at) if len(several) else []:
+        kept = [part[shared_windows([bodies[i] for i in first[several[part]]], hashes[first[several[part]]], wide[first[several[part]]], length)] for part in _by_bytes(hashes[first[several]], wide[first[several]] + length)]
+        several = several[np.concatenate(kept)] if kept else several
+        for part in _by_bytes(hashes[first[several]], wide[first[several]] + length):
+            part = several[part]
             some = first[part]
-            for k, windows in _repeated_windows([bodies[i] for i in some], wide[some], order[some], row[some], start[some], length):
-                i = some[k]
-                cuts = np.flatnonzero(np.diff(windows, prepend=windows[0] - 2) != 1)
-                low, high = windows[cuts], windows[np.append(cuts[1:], len(windows)) - 1]
-                same = np.ones(len(cuts), dtype=np.int64)
-                covers.append((same * chunk[i], same * row[i], start[i] + low, start[i] + high + length))
+            context, window = repeated_windows([bodies[i] for i in some], wide[some], order[some], row[some], start[some], length)
+            breaks = np.flatnonzero((np.diff(context, prepend=-1) != 0) | (np.diff(window, prepend=-1) != 1))
+            i, low, high = some[context[breaks]], window[breaks], window[np.append(breaks[1:], len(window)) - 1] if len(breaks) else breaks
+            covers.append((chunk[i], row[i], start[i] + low, start[i] + high + length))
         chunk, row, low, high = (np.concatenate(x) for x in zip(*covers, strict=True))
         by = np.argsort(chunk, kind="stable")
         edges = np.flatnonzero(np.diff(chunk[by], prepend=-1))
@@ -340,26 +373,26 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_bytes: bool = False,
     A byte goes when a string of ``length`` bytes covers it that also starts earlier: in a row of a smaller
     id (null ids come last; of equal ids, the row read first) or earlier in the same text. Strings are judged on the
     input. Null texts are empty; nothing crosses texts; an empty table gives no rows; other columns
-    are not read. ``length`` is at least 51.
+    are not read. ``length`` is at least 51, at most a million.
     """
-    if length <= GRAM:
-        raise ValueError(f"length must be over {GRAM}")
-    work = Workspace(docs.sparkSession, "repeats")
-    order = F.coalesce(docs[id_column].cast("long"), F.lit((1 << 63) - 1))
-    plain = docs.select(docs[id_column].alias("doc_id"), order.alias("ord"), F.encode(text_of(docs, text_column), "UTF-8").alias("body"))
-    corpus, size = write_chunks(plain, F.col("body"), work)
-    kind = corpus.schema["doc_id"].dataType.simpleString()
-    bits = owner_bits(size / 26)
-    narrow = corpus.select("chunk", "uid", "ord", "body")
-    sent = narrow.mapInArrow(_send(length, bits), "owner long, chunk long, low long, high long, keys binary")
-    answers = sent.groupBy("owner").applyInArrow(_answer, "owner long, chunk long, low long, high long, bits binary")
-    out_bits = max(2, int(np.ceil(np.log2(size / OWNER_BYTES + 1))))
-    found = narrow.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_contexts(length, bits, out_bits), "owner long, chunk long, blob binary")
-    found = work.put(found, "contexts", "zstd")
-    resolved = found.where("owner >= 0").groupBy("owner").applyInArrow(_resolve(length), "owner long, chunk long, blob binary")
-    covers = work.put(found.where("owner < 0").unionByName(resolved), "covers", "zstd")
-    kept = ", kept binary" if with_bytes else ""
-    out = corpus.groupBy("chunk").cogroup(covers.groupBy("chunk")).applyInArrow(_cut(with_bytes), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
-    out = work.put(out, "result")
-    work.clear("result")
-    return out
+    if not GRAM < length <= 1_000_000:
+        raise ValueError(f"length must be over {GRAM} and at most a million")
+    with Workspace(docs.sparkSession, "repeats") as work:
+        order = F.coalesce(docs[id_column].cast("long"), F.lit((1 << 63) - 1))
+        plain = docs.select(docs[id_column].alias("doc_id"), order.alias("ord"), F.encode(text_of(docs, text_column), "UTF-8").alias("body"))
+        corpus, size = write_chunks(plain, F.col("body"), work)
+        kind = corpus.schema["doc_id"].dataType.simpleString()
+        bits = owner_bits(size / 26)
+        narrow = corpus.select("chunk", "uid", "ord", "body")
+        sent = narrow.mapInArrow(_send(length, bits), "owner long, chunk long, low long, high long, keys binary")
+        answers = sent.groupBy("owner").applyInArrow(_answer, "owner long, chunk long, low long, high long, bits binary")
+        out_bits = max(2, int(np.ceil(np.log2(size / OWNER_BYTES + 1))))
+        found = narrow.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_contexts(length, bits, out_bits), "owner long, chunk long, blob binary")
+        found = work.put(found, "contexts", "zstd")
+        resolved = found.where("owner >= 0").groupBy("owner").applyInArrow(_resolve(length), "owner long, chunk long, blob binary")
+        covers = work.put(found.where("owner < 0").unionByName(resolved), "covers", "zstd")
+        kept = ", kept binary" if with_bytes else ""
+        out = corpus.groupBy("chunk").cogroup(covers.groupBy("chunk")).applyInArrow(_cut(with_bytes), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
+        out = work.put(out, "result")
+        work.clear("result")
+        return out
