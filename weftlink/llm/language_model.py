@@ -93,8 +93,11 @@ def _answer(bits: int):
     return answer
 
 
-def _parts_with_totals(rows: pa.Table, answers: pa.Table, bits: int, width: int) -> Iterator[tuple]:
-    """For each part: its rows, token starts, and by token the totals and the own counts of word, last one, pair, pair before, triple."""
+def _parts_with_totals(rows: pa.Table, answers: pa.Table, bits: int, width: int, others: bool = False) -> Iterator[tuple]:
+    """For each part: its rows, token starts, whether a token is learned from, and by token the totals of word, last one, pair, pair before, triple.
+
+    With ``others`` the totals are those of all other parts.
+    """
     rows = rows.sort_by("uid")
     uid = rows.column("uid").to_numpy()
     answers = answers.sort_by([("low", "ascending"), ("owner", "ascending")])
@@ -111,20 +114,16 @@ def _parts_with_totals(rows: pa.Table, answers: pa.Table, bits: int, width: int)
         for k, keys in _keys(tokens, before, starts, width).items():
             distinct, inverse = np.unique(keys, return_inverse=True)
             total = np.concatenate([unpack_numbers(answers.column("totals")[int(i)].as_py()) for i in mine[order == k]])
-            own = np.bincount(inverse, np.append(weight, trained) if k == 1 else weight, len(distinct)).astype(np.int64)
-            found[k] = (distinct, inverse, total, own)
-        distinct, inverse = found[1][:2]
-        word, pair, triple = inverse[: len(tokens)], found[2][1], found[3][1]
-        begun = int(np.searchsorted(distinct, BEGIN))
-
-        def of(k: int, first: np.ndarray = starts[:-1], word=word, pair=pair, triple=triple, found=found, begun=begun) -> tuple[np.ndarray, ...]:
-            words, pairs, triples = found[1][k], found[2][k], found[3][k]
-            last, two = np.empty(len(word), dtype=np.int64), np.empty(len(word), dtype=np.int64)
-            last[1:], two[1:] = words[word[:-1]], pairs[pair[:-1]]
-            last[first] = two[first] = words[begun]
-            return words[word], last, pairs[pair], two, triples[triple]
-
-        yield part, starts, trained, weight, of(2), of(3)
+            if others:
+                total -= np.bincount(inverse, np.append(weight, trained) if k == 1 else weight, len(distinct)).astype(np.int64)
+            if k == 1:
+                begun = total[np.searchsorted(distinct, BEGIN)]
+            found[k] = total[inverse[: len(tokens)]]
+            del keys, distinct, inverse, total
+        last, two = np.empty_like(found[1]), np.empty_like(found[2])
+        last[1:], two[1:] = found[1][:-1], found[2][:-1]
+        last[starts[:-1]] = two[starts[:-1]] = begun
+        yield part, starts, weight, (found[1], last, found[2], two, found[3])
 
 
 def bucket_of(two: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -144,6 +143,18 @@ def shares_of(counts: tuple[np.ndarray, ...], tokens: int) -> tuple[np.ndarray,
     return triple / np.maximum(two, 1), pair / np.maximum(last, 1), word / max(tokens, 1)
 
 
+def cells_of(counts: tuple[np.ndarray, ...], tokens: int) -> pd.DataFrame:
+    """Cells of tokens with these counts: bucket, steps of the three estimates, number, and sums of the estimates."""
+    shares = shares_of(counts, tokens)
+    code = bucket_of(counts[3], counts[1])
+    for x in shares:
+        code = code * 64 + _level(x) + 1
+    cells, inverse = np.unique(code, return_inverse=True)
+    steps = {name: (cells >> (6 * k) & 63) - 1 for k, name in ((2, "a"), (1, "b"), (0, "c"))}
+    sums = {name: np.bincount(inverse, x, len(cells)).astype(np.float64) for name, x in zip(("triple", "pair", "word"), shares, strict=True)}
+    return pd.DataFrame({"bucket": cells >> 18, **steps, "n": np.bincount(inverse, minlength=len(cells)), **sums})
+
+
 def learn_weights(cells: pd.DataFrame, uniform: float, rounds: int = 60) -> np.ndarray:
     """Mixture weights (triple, pair, word, uniform) of each bucket, by expectation-maximisation over cells of held-out counts.
 
@@ -195,14 +206,8 @@ def language_model(docs: DataFrame, trained, id_column: str = "doc_id", text_col
         found = answers.drop("words", "known").groupBy("chunk")
 
         def held_out(rows: pa.Table, found: pa.Table) -> pa.Table:
-            every = []
-            for _, _, _, weight, totals, own in _parts_with_totals(rows, found, bits, width):
-                counts = tuple(t[weight] - o[weight] for t, o in zip(totals, own, strict=True))
-                triple, pair, word = shares_of(counts, train_tokens - int(weight.sum()))
-                cell = pd.DataFrame({"bucket": bucket_of(counts[3], counts[1]), "a": _level(triple), "b": _level(pair), "c": _level(word), "n": 1, "triple": triple, "pair": pair, "word": word})
-                every.append(cell.groupby(["bucket", "a", "b", "c"], as_index=False).sum())
-            cells = pd.concat(every).groupby(["bucket", "a", "b", "c"], as_index=False).sum()
-            return pa.Table.from_pandas(cells.astype({c: np.float64 if c in ("triple", "pair", "word") else np.int64 for c in cells}), preserve_index=False)
+            every = [cells_of(tuple(x[weight] for x in counts), train_tokens - int(weight.sum())) for _, _, weight, counts in _parts_with_totals(rows, found, bits, width, others=True)]
+            return pa.Table.from_pandas(pd.concat(every), preserve_index=False)
 
         schema = "bucket long, a long, b long, c long, n long, triple double, pair double, word double"
         cells = corpus.drop("doc_id").groupBy("chunk").cogroup(found).applyInArrow(held_out, schema)
@@ -211,7 +216,7 @@ def language_model(docs: DataFrame, trained, id_column: str = "doc_id", text_col
 
         def score(rows: pa.Table, found: pa.Table) -> pa.Table:
             outs = []
-            for part, starts, _, _, counts, _ in _parts_with_totals(rows, found, bits, width):
+            for part, starts, _, counts in _parts_with_totals(rows, found, bits, width):
                 mixed = weights[bucket_of(counts[3], counts[1])]
                 chance = sum((mixed[:, k] * x for k, x in enumerate(shares_of(counts, train_tokens))), mixed[:, 3] * uniform)
                 base = np.log10((counts[0] + 1) / (train_tokens + vocabulary + 1))
