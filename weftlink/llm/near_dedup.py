@@ -7,9 +7,10 @@
    one is cut deeper, minimum by minimum, as long as it is large; at every depth its nodes are
    candidates of their neighbours of longest common prefix in the sorted order and of the region's hub, the node
    that agrees best with its commonest minima. So these candidates are linear in the nodes, in regions of any size.
-3. Candidates are confirmed on full sets, in two rounds. The first takes each node's two most promising pairs; the second
-   takes every other candidate pair whose nodes the first has not connected. Pairs inside a component would not
-   change it.
+3. Candidates are confirmed on full sets, in rounds. The first takes each node's two most promising pairs; in the next ones each
+   component that is left takes up to 8, then up to 64 pairs with others; the last takes every other candidate pair whose nodes
+   are still apart. Pairs inside a component would not change it, and a large group of near copies is one component long before
+   its pairs are all confirmed.
 4. In larger regions every pair that is still apart is tested too, in blocks: all rows outside the region's largest
    component against all rows. Parity sketches of the sets bound their difference from below, so that only pairs
    that can't be linked go before the full sets are confirmed; none is lost. What is connected costs nothing
@@ -43,6 +44,8 @@ STRETCH = 100_000
 BLOCK_MEMBERS = 256
 #: Rows on each side of a block in which all pairs of a region are tested.
 BLOCK_ROWS = 1024
+#: Pairs that a component takes in a round between the first and the last.
+SHARES = (8, 64)
 #: Bits of a parity sketch.
 SKETCH = 4096
 
@@ -362,10 +365,25 @@ def _possible(percent: int):
     return possible
 
 
+def told_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All of ``pairs`` (a, b) whose nodes are apart by ``labels``, with their components la and lb."""
+    la, lb = (labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in ("a", "b"))
+    told = pairs.join(la, "a", "left").join(lb, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    return told.where("la <> lb")
+
+
 def apart_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """All of ``pairs`` (a, b) whose nodes are apart by ``labels``."""
-    la, lb = (labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in ("a", "b"))
-    return pairs.join(la, "a", "left").join(lb, "b", "left").where("not (coalesce(la, a) <=> coalesce(lb, b))").select("a", "b")
+    return told_pairs(pairs, labels).select("a", "b")
+
+
+def shared_out(told: DataFrame, most: int) -> DataFrame:
+    """Of pairs (a, b, la, lb) up to ``most`` of each component: one of each class of pairs by hash, so by partial aggregates."""
+    pair = F.struct("a", "b")
+    sides = told.select(F.col("la").alias("l"), pair.alias("pair")).unionByName(told.select(F.col("lb").alias("l"), pair.alias("pair")))
+    of = F.xxhash64("pair.a", "pair.b")
+    kept = sides.groupBy("l", F.pmod(of, F.lit(most)).alias("class")).agg(F.max(F.struct(of.alias("h"), F.col("pair").alias("pair"))).alias("x"))
+    return kept.select("x.pair.a", "x.pair.b").distinct()
 
 
 def possible_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -402,7 +420,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_
         corpus, _ = write_chunks(plain, text, work, derived=True)
         kept = work.put(_components(corpus, work, words, percent), "result").where("kept").select("uid")
         rows = corpus.join(kept, "uid", "left_semi").select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
-        out = work.put(rows, "rows-kept")
+        out = work.put(rows, "rows-kept", "zstd")
         work.clear("rows-kept")
         return out
 
@@ -449,18 +467,31 @@ def _components(corpus: DataFrame, work: Workspace, words: int, percent: int) ->
     known = described.select("uid", "n_shingles", "sketch")
     apart = work.put(apart_pairs(pairs.join(first, ["a", "b"], "left_anti"), labels), "apart")
     ends = work.put(apart.select(F.col("a").alias("uid")).unionByName(apart.select(F.col("b").alias("uid"))).distinct(), "ends")
-    second = possible_pairs(apart, work.put(known.join(ends, "uid"), "known"), percent)
-    second = work.put(second, "second")
-    more = confirm_pairs(second, where, corpus, words, percent)
-    links = work.put(links.select("a", "b").unionByName(more.select("a", "b")), "links-2")
-    labels = connected(links, work, "round-2")
-
-    third = work.put(region_rest(members, labels, known, work, percent), "third")
-    work.drop("told", "mixed", "found", "pairs", "first", "apart", "ends", "known", "second")
+    left = work.put(possible_pairs(apart, work.put(known.join(ends, "uid"), "known"), percent), "left")
+    work.drop("pairs", "first", "apart", "ends", "known")
+
+    def joined(more: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+        """Labels after new links: components are nodes of a small graph, so no old link is carried on."""
+        edges = work.put(told_pairs(more, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), f"links-{name}")
+        if edges.isEmpty():
+            return labels
+        merged = connected(edges, work, name).select(F.col("node").alias("m_node"), F.col("label").alias("m_label"))
+        old = labels.join(merged, labels["label"] == merged["m_node"], "left").select("node", F.coalesce("m_label", "label").alias("label"))
+        new = merged.join(labels, merged["m_node"] == labels["node"], "left_anti").select(F.col("m_node").alias("node"), F.col("m_label").alias("label"))
+        return work.put(old.unionByName(new), f"labels-{name}")
+
+    for turn, most in enumerate([*SHARES, None], 2):
+        told = work.put(told_pairs(left, labels), f"told-{turn}")
+        if told.isEmpty():
+            break
+        chosen = work.put(shared_out(told, most) if most else told.select("a", "b"), f"chosen-{turn}")
+        labels = joined(confirm_pairs(chosen, where, corpus, words, percent), labels, f"round-{turn}")
+        left = work.put(told.select("a", "b").join(chosen, ["a", "b"], "left_anti"), f"left-{turn}")
+
+    third = work.put(region_rest(members, labels, described.select("uid", "n_shingles", "sketch"), work, percent), "third")
+    work.drop("told", "mixed", "found", "left")
     if not third.isEmpty():
-        more = confirm_pairs(third, where, corpus, words, percent)
-        links = work.put(links.select("a", "b").unionByName(more.select("a", "b")), "links-3")
-        labels = connected(links, work, "round-3")
+        labels = joined(confirm_pairs(third, where, corpus, words, percent), labels, "rest")
 
     named = nodes.join(labels, nodes["uid"] == labels["node"], "left").select("set_a", "set_b", "n_shingles", F.coalesce("label", "uid").alias("label"))
     named = work.put(named, "named")
