@@ -86,13 +86,17 @@ class WordTokens:
 
     def _others(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Words of the block whose bytes are not those of their row."""
+        kind = np.int32 if max(len(data), len(self.letters)) < 1 << 31 else np.int64
         wide = end - start
         other = self.width[row] != wide
         same = np.flatnonzero(~other)
         size = wide[same]
-        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        differ = LOWER[data[np.repeat(start[same], size) + step]] != self.letters[np.repeat(self.begin[row[same]], size) + step]
-        other[same[np.repeat(np.arange(len(same)), size)[differ]]] = True
+        place = np.arange(int(size.sum()), dtype=kind)
+        before = np.cumsum(size) - size
+        here = place + np.repeat((start[same] - before).astype(kind), size)
+        there = place + np.repeat((self.begin[row[same]] - before).astype(kind), size)
+        differ = np.flatnonzero(LOWER[data[here]] != self.letters[there])
+        other[same[np.searchsorted(before, differ, side="right") - 1]] = True
         return np.flatnonzero(other)
 
     def _block(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
