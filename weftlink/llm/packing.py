@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,36 +54,45 @@ class WordTokens:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _encoded(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word. One of letters and ASCII marks has as many word-end tokens as the pattern finds parts in it, so many
-        are encoded as one text; others go alone."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        easy = [k for k, w in enumerate(words) if self.plain.fullmatch(w) and "İ" not in w]
+    def _encoded(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Numbers of some words, their ids one after another, and how many each has. A word of letters and ASCII marks has as many
+        word-end tokens as the pattern finds parts in it, so many are encoded as one text; others go alone."""
+        easy = [k for k, w in enumerate(words) if w.isascii() and w.isprintable() or self.plain.fullmatch(w) and "İ" not in w]
+        alone = sorted(set(range(len(words))).difference(easy))
         for at in range(0, len(easy), 512):
             some = easy[at : at + 512]
             ids = self.whole(" ".join([words[k] for k in some]))
             parts = np.cumsum([1 if words[k].isalpha() else len(self.parts.findall(words[k].lower())) for k in some])
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == parts[-1] and stops[-1] == len(ids):
-                for k, x in zip(some, np.split(ids, stops[parts[:-1] - 1]), strict=True):
-                    out[k] = x
-        return [self.whole(w) if x is None else x for w, x in zip(words, out, strict=True)]
-
-    def _learn(self, keys: list[int], words: list[bytes]) -> None:
-        """Rows for ``words``, one after another; those of ``keys`` can be found again."""
-        new = self._encoded([w.decode() for w in words])
-        sizes, widths = np.array([len(x) for x in new], dtype=np.int64), np.array([len(w) for w in words], dtype=np.int64)
-        need = self.filled + int(sizes.sum())
+                yield some, ids, np.diff(stops[parts - 1], prepend=0)
+            else:
+                alone += some
+        for k in alone:
+            ids = self.whole(words[k])
+            yield [k], ids, np.array([len(ids)])
+
+    def _learn(self, keys: list[int], words: list[bytes]) -> np.ndarray:
+        """The rows that ``words`` get; those of ``keys``, one for each word or none, can be found again."""
+        order, ids, sizes = zip(*self._encoded([w.decode() for w in words]), strict=True)
+        order, ids, sizes = [k for x in order for k in x], np.concatenate(ids), np.concatenate(sizes)
+        widths = np.array([len(words[k]) for k in order], dtype=np.int64)
+        need = self.filled + len(ids)
         if need > len(self.store):
             self.store = np.concatenate([self.store[: self.filled], np.zeros(max(need, len(self.store)), dtype="<u4")])
-        self.store[self.filled : need] = np.concatenate(new)
-        self.rows.update(zip(keys, range(len(self.sizes), len(self.sizes) + len(keys)), strict=True))
+        self.store[self.filled : need] = ids
+        known = len(self.sizes)
+        if keys:
+            self.rows.update(zip([keys[k] for k in order], range(known, known + len(order)), strict=True))
         self.first = np.append(self.first, self.filled + np.cumsum(sizes) - sizes)
         self.sizes = np.append(self.sizes, sizes)
         self.begin = np.append(self.begin, len(self.letters) + np.cumsum(widths) - widths)
         self.width = np.append(self.width, widths)
-        self.letters = np.append(self.letters, LOWER[np.frombuffer(b"".join(words), np.uint8)])
+        self.letters = np.append(self.letters, LOWER[np.frombuffer(b"".join([words[k] for k in order]), np.uint8)])
         self.filled = need
+        rows = np.empty(len(order), dtype=np.int64)
+        rows[order] = known + np.arange(len(order))
+        return rows
 
     def _others(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Words of the block whose bytes are not those of their row."""
@@ -105,19 +115,19 @@ class WordTokens:
         if len(self.sizes) > self.limit:
             self._forget()
         listed = keys.tolist()
-        row = np.fromiter((self.rows.get(k, -1) for k in listed), np.int64, len(listed))
+        row = np.fromiter(map(self.rows.get, listed, repeat(-1)), np.int64, len(listed))
         new = np.flatnonzero(row < 0)
         raw = data.tobytes()
+
+        def said(which: np.ndarray) -> list[bytes]:
+            return [raw[a:b] for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)]
+
         if len(new):
-            known = len(self.sizes)
-            self._learn([listed[k] for k in new], [raw[start[k] : end[k]] for k in sample[new]])
-            row[new] = known + np.arange(len(new))
+            row[new] = self._learn(keys[new].tolist(), said(sample[new]))
         row = row[inverse]
         others = self._others(data, start, end, row) if len(row) else row
         if len(others):
-            known = len(self.sizes)
-            self._learn([], [raw[start[k] : end[k]] for k in others])
-            row[others] = known + np.arange(len(others))
+            row[others] = self._learn([], said(others))
         sizes, first = self.sizes[row], self.first[row]
         stops = np.cumsum(sizes)
         ids = self.store[np.repeat(first - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)]
