@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -148,6 +149,12 @@ class WordTokens:
                 yield self.whole(text.decode()).tobytes() if b"<|" in text else ids
 
 
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """The words that this Python worker has learned, which its later tasks go on with; bounded by their ``limit``."""
+    return WordTokens(path)
+
+
 class OpenBins:
     """Segment tree over remaining capacities: which of them some open bin has."""
 
@@ -220,7 +227,7 @@ def _pieces(tokenizer_path: str | None, capacity: int, end_id: int, with_ids: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        tokens = WordTokens(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+        tokens = word_tokens(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
         chunk, end, step = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), 4 * capacity
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
