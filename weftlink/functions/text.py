@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,8 +54,12 @@ def tokenize(text: Column) -> Column:
     return F.transform(kept, stem)
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Runs of n tokens, joined by spaces. The array is read n times over, not once for each run."""
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often ``use`` reads it; array functions share no subexpressions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _runs(tokens: Column, n: int) -> Column:
     out, left = tokens, F.size(tokens)
     for k in range(1, n):
         shorter = F.greatest(left - k, F.lit(0))
@@ -62,13 +67,18 @@ def ngrams(tokens: Column, n: int) -> Column:
     return out
 
 
+def ngrams(tokens: Column, n: int) -> Column:
+    """Runs of n tokens, joined by spaces."""
+    return _once(tokens, lambda t: _runs(t, n))
+
+
 def terms(tokens: Column) -> Column:
-    return F.concat(tokens, ngrams(tokens, 2))
+    return _once(tokens, lambda t: F.concat(t, _runs(t, 2)))
 
 
 def phrases(tokens: Column) -> Column:
     """Runs of two and of three tokens."""
-    return F.concat(ngrams(tokens, 2), ngrams(tokens, 3))
+    return _once(tokens, lambda t: F.concat(_runs(t, 2), _runs(t, 3)))
 
 
 def keyword_text(keywords: Column) -> Column:

@@ -20,6 +20,7 @@ from ..sources.robots import allowed_urls
 from .analyze import analyze, parsed
 from .inventory import SQL as PAGES_SQL
 from .inventory import inventory, page_table
+from .stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -509,7 +510,7 @@ def link_suggestions(spark, sf_dir):
     """The whole analysis of all pages of all sites."""
     from ..schemas import SUGGESTIONS
 
-    pages = parsed(page_table(spark, sf_dir)).cache()
+    pages = stored(parsed(page_table(spark, sf_dir)), "pages")
     found = analyze(pages, spark.createDataFrame([], SUGGESTIONS), F.lit("2026-02-01").cast("timestamp"))
     return found["suggestions"].select("source_page_id", "target_page_id", "anchor", "context", "relevance_score", "skipped")
 
