@@ -258,6 +258,9 @@ def test_ai_analysis_falls_back(spark, site):
     only = spark.createDataFrame([("source",)], "id string")
     found = analyze_ai(site, none, F.lit(NOW), lambda prompt: said, sources=only)
     assert [(r["target_page_id"], r["skipped"]) for r in found["suggestions"].collect()] == [("chatbot", None)] and found["errors"].count() == 0
+    told = {r["target_page_id"]: r for r in found["diagnostics"].collect()}
+    assert set(told) == {r["target_page_id"] for r in found["candidates"].collect()}
+    assert set(told["chatbot"]["signals"]) == set(C.SIGNAL_WEIGHTS) and told["chatbot"]["signals"]["anchor_quality"] > 0.5 and told["chatbot"]["score"] > 0 and told["chatbot"]["retrieval_score"] > 0
     found = analyze_ai(site, none, F.lit(NOW), sources=only, fallback=True)
     assert {r["error"] for r in found["errors"].collect()} == {"AI_PROVIDER_NOT_CONFIGURED"}
     assert "chatbot" in {r["target_page_id"] for r in found["suggestions"].where("skipped is null").collect()}

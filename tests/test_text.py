@@ -68,3 +68,11 @@ def test_phrases_name_their_target():
 def test_truncate(spark):
     assert one(spark, "alpha beta gamma", lambda c: X.truncated(c, 12)) == "alpha beta…"
     assert one(spark, "alpha", lambda c: X.truncated(c, 12)) == "alpha"
+
+
+@pytest.mark.parametrize("text", [None, "", "a", "a\n", "a\r\nb", "\n", "a\n\nb\x0b\x0c c\u2028", "x\x85y\x1cz"])
+def test_split_lines(spark, text):
+    from weftlink.functions.text import split_lines
+
+    got = spark.createDataFrame([(text,)], "t string").select(split_lines(F.col("t")).alias("x")).first()["x"]
+    assert got == (text or "").splitlines()

@@ -110,6 +110,13 @@ def sentences(block: Column) -> Column:
     return F.filter(F.transform(parts, F.trim), lambda s: (F.char_length(s) <= 400) & (F.size(F.regexp_extract_all(s, F.lit(WORD), F.lit(0))) >= 5))
 
 
+def split_lines(text: Column) -> Column:
+    """Lines by any line break, CR LF as one; a break at the end opens no line, and no text has none."""
+    lines = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    whole = _once(lines, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(whole)
+
+
 def mention_credit(count: Column) -> Column:
     return F.when(count > 0, 1 - F.exp(-count / 2.0)).otherwise(0.0)
 

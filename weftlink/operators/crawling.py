@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.extract import extract_page
 from ..sources.bronze import decode_body, header, is_html
+from ..sources.robots import allowed_urls
 
 MAX_ERRORS = 200
 
@@ -30,6 +31,17 @@ def frontier(found: DataFrame, seen: DataFrame, hosts: tuple[str, ...], room: in
     return first.select("key", F.col("x.url").alias("url"), F.col("x.position").alias("position")).orderBy("position", "url").limit(room)
 
 
+def followable(redirects: DataFrame, hosts: tuple[str, ...], rules: DataFrame) -> DataFrame:
+    """``redirects`` (url, where one leads) with ``may_follow``: it normalises, is in scope, is no asset and robots.txt allows it.
+
+    ``rules``: host, allow, pattern, as for ``allowed_urls``.
+    """
+    to = redirects.withColumn("_to", U.crawl_url(F.col("url"), F.lit(None).cast("string")))
+    asked = to.withColumn("host", U.bare_host(F.col("_to"))).withColumn("target", U.site_relative(F.col("_to")))
+    verdict = F.col("_to").isNotNull() & U.in_scope(F.col("_to"), hosts) & ~U.is_asset(F.col("_to")) & F.col("allowed")
+    return allowed_urls(asked, rules).select(*redirects.columns, F.coalesce(verdict, F.lit(False)).alias("may_follow"))
+
+
 def extracted(fetches: DataFrame) -> DataFrame:
     """``fetches`` with ``kind`` and, for HTML that is live, the ``page`` record; one pass of the parser a page."""
     kind = header("content-type")

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions import text as X
 from ..functions import urls as U
 from ..operators import relational as R
 from ..operators import retrieval as V
+from ..operators.crawling import followable
 from ..operators.exclusion import candidate_pairs, linked_keys, page_features, reason_counts
 from .inventory import SQL as PAGES_SQL
 from .inventory import inventory
@@ -274,3 +276,30 @@ def retrieval_pool(spark, sf_dir):
     s, t = (V.tfidf_vectors(c, idf, ["host"], sizes=sizes) for c in (counted(V.SOURCE_WEIGHTS), targets))
     found = V.retrieve(s, t, p.select("page_id", "url"), ["host"], 1 << 30)
     return found.select("source_page_id", "target_page_id", "score")
+
+
+# --- lines and redirects ---------------------------------------------------------------------------------
+
+
+@query(
+    "WITH d AS (SELECT doc_id, replace(text, '. ', '.' || chr(13) || chr(10)) || chr(8232) AS t FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, string_split_regex(t, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS x FROM d) "
+    "SELECT doc_id, (len(x) - 1)::INTEGER AS n, x[1] AS first, x[-2] AS last FROM l"
+)
+def split_lines(spark, sf_dir):
+    text = F.concat(F.replace("text", F.lit(". "), F.lit(".\r\n")), F.lit("\u2028"))
+    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", X.split_lines(text).alias("x"))
+    return lines.select("doc_id", F.size("x").alias("n"), F.col("x")[0].alias("first"), F.element_at("x", -1).alias("last"))
+
+
+SCOPE = ("thther.example.org", "ththhe.example.com", "blog.tionsh.example.net", "m.ththth.example.net", "ththed.example.org")
+
+
+@query(
+    f"WITH {SITE_SQL}, f AS (SELECT *, {ASSET_SQL} AS asset FROM w) SELECT id, netloc IN {SCOPE} AND NOT asset AND NOT (starts_with(path, '/us/') OR regexp_matches(path, '^/en/.*5$')) AS may_follow FROM f"
+)
+def redirect_follow(spark, sf_dir):
+    """Every page as the goal of a redirect, in a crawl of five hosts."""
+    pages = site_pages(spark, sf_dir)
+    rules = pages.select(U.bare_host(F.col("url")).alias("host")).distinct()
+    every = rules.select("host", F.lit(False).alias("allow"), F.explode(F.array(F.lit("/us/"), F.lit("/en/*5$"))).alias("pattern"))
+    return followable(pages.select("id", "url"), SCOPE, every).select("id", "may_follow")
