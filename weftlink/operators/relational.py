@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import bare_host, url_key, url_spellings
+from ..functions.urls import bare_host, url_spellings
 from ..schemas import ACTIVE
 
 
@@ -225,7 +225,3 @@ def suggestion_rows(details: DataFrame) -> DataFrame:
     """Listing form of suggestions, timestamps in ISO 8601."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     return details.select("id", "status", "anchor_text", "context", "relevance_score", F.col("source.url").alias("source_url"), F.col("target.url").alias("target_url"), iso(F.col("created_at")).alias("created_at"))
-
-
-def keyed(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("url_key", url_key(F.col("url")))
