@@ -299,7 +299,11 @@ def sentence_words(spark, sf_dir):
     return s.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum(F.size(X.tokenize(F.col("x")))).cast("long").alias("words"))
 
 
-@query(None)
+@query(
+    r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\x0b\f\r]+(["“''‘(]?[\p{Lu}\p{N}])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)),
+  lambda x: length(x) <= 400 AND len(regexp_extract_all(x, '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*')) >= 5) AS x FROM documents)
+SELECT doc_id, (i - 1)::INTEGER AS position, x[i] AS sentence FROM s, unnest(range(1, len(x) + 1)) AS r(i)"""
+)
 def sentences(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("position", "sentence"))
 
