@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters, over whole tables."""
+"""The registered queries of the operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_conversations, turn_digests
+from .collocations import collocations
 from .common import read_documents
 from .exact_dedup import exact_duplicates
 from .language_id import id_fold, identify_language, train_on_folds
@@ -69,6 +70,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(read_documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_documents(spark, sf_dir)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "cut")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -100,5 +105,27 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM n WINDOW g AS (PARTITION BY text_sha256)
+""",
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+h AS (SELECT lang, ws, i, unnest(range(1, least(4, len(ws) - i + 1) + 1)) AS size FROM i),
+f AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM h GROUP BY ALL HAVING count(*) >= 30),
+k AS (SELECT lang, phrase, a, size, ws, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+sides AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest FROM k),
+cuts AS (
+  SELECT s.lang, s.phrase, s.a, k, x.a AS l, y.a AS r, (s.a::HUGEINT * 2000000 // (x.a + y.a))::BIGINT AS score
+  FROM sides s JOIN f x ON x.lang = s.lang AND x.phrase = s.first JOIN f y ON y.lang = s.lang AND y.phrase = s.rest
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS most
+  FROM f, range(2, 4) AS ms(m), range(1, 4) AS starts(i) WHERE m < size AND i + m - 1 <= size GROUP BY ALL
+), kept AS (SELECT b.* FROM best b LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR most::HUGEINT * 100 < b.a::HUGEINT * 80)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, k AS cut
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
 """,
 }
