@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import parts_of, write_chunks
-from .common import Workspace, text_of
+from .common import Workspace, picked, text_of
 
 #: Words of the longest phrase, and bytes of an id.
 WORDS, ID = 4, 4
@@ -234,9 +234,8 @@ def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int =
     are not read. Counts are exact, products are decimals.
     """
     with Workspace(docs.sparkSession, "collocations") as work:
-        named = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
-        column = lambda name: F.col(f"c{docs.columns.index(name)}")
-        plain = named.select(F.coalesce(column(lang_column).cast("string"), F.lit("und")).alias("lang"), F.coalesce(column(text_column).cast("string"), F.lit("")).alias("body"))
+        own = picked(docs, lang=lang_column, body=text_column)
+        plain = own.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of(own, "body").alias("body"))
         corpus, size = write_chunks(plain, F.col("body"), work)
         dictionary, totals, grams = count_phrases(corpus, size, work, least, range_keys, fan)
         work.drop("corpus", "words", "runs")

@@ -85,6 +85,12 @@ class Workspace:
         self.drop(*(self.names - set(keep)))
 
 
+def picked(df: DataFrame, **columns: str) -> DataFrame:
+    """Columns of ``df`` under new names: ``picked(docs, id="doc_id")``. They are taken by position, so dots, quotes and clashes in names don't matter."""
+    named = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return named.select(*[named[f"c{df.columns.index(name)}"].alias(new) for new, name in columns.items()])
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
