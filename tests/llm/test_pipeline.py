@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -45,5 +46,28 @@ def test_stages(spark, tmp_path):
 
 def test_run_and_registration(spark):
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 11))
+    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 14))
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_columns_of_any_names(spark, tmp_path):
+    """Names with dots, quotes and spaces go through every stage, and so does shard_documents."""
+    from weftlink.llm.sharding import shard_documents
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    names = ["meta.k", "a`b", "a b", "row", "c0", "doc_id.x"]
+    wide = docs.toDF(*docs.columns)
+    for n in names:
+        wide = wide.withColumn("new", F.concat(F.lit(n), F.col("doc_id").cast("string"))).toDF(*wide.columns, n)
+    order, frames = ["doc_id", "text", "lang", "source", "n_chars", *names], {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, SF)
+        out.write.parquet(f"{tmp_path}/{name}")
+        wide = spark.read.parquet(f"{tmp_path}/{name}")
+        frames[name] = wide
+        if name != "pack":
+            assert wide.columns == order
+            rows = wide.collect()
+            assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    sharded = shard_documents(frames["exact_dedup"])
+    assert set(order) < set(sharded.columns) and all(r["meta.k"] == f"meta.k{r['doc_id']}" for r in sharded.collect())

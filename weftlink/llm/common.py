@@ -91,6 +91,18 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return named.select(*[named[f"c{df.columns.index(name)}"].alias(new) for new, name in columns.items()])
 
 
+def carried(df: DataFrame, **columns: str) -> DataFrame:
+    """All columns of ``df`` as one struct ``row``, and some under new names as in ``picked``; ``unpacked`` gives the columns back."""
+    named = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    row = F.struct(F.lit(0).alias("none"), *[named[c] for c in named.columns])
+    return named.select(row.alias("row"), *[named[f"c{df.columns.index(name)}"].alias(new) for new, name in columns.items()])
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    """The columns of a ``row`` under their own names, which may be any."""
+    return [F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(names)]
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

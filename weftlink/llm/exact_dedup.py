@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Workspace, text_of
+from .common import WHITE, Workspace, carried, text_of, unpacked
 
 #: Ledger rows of a block, as a power of two; fingerprints that an owner should get, about.
 BLOCK_BITS, OWNER_ROWS, SPARE_BITS = 20, 1 << 20, 10
@@ -158,10 +158,10 @@ def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_colum
     """
     marked = exact_duplicates(docs, id_column, text_column)
     dropped = marked.where("not kept").select(F.col("doc_id").alias("d_id"), F.col("keep_id").alias("d_keep"), F.col("text_sha256").alias("d_sha"))
-    row = F.struct(F.lit(0).alias("none"), *[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)])
-    left = docs.select(row.alias("row"), docs[id_column].alias("id"), F.sha2(F.regexp_replace(text_of(docs, text_column), WHITE, " "), 256).alias("sha"))
+    rows = carried(docs, id=id_column, body=text_column)
+    left = rows.select("row", "id", F.sha2(F.regexp_replace(text_of(rows, "body"), WHITE, " "), 256).alias("sha"))
     if not dropped.where(F.col("d_id").eqNullSafe(F.col("d_keep"))).isEmpty():  # repeated rows, seldom
         left = left.dropDuplicates(["id", "sha"])
     others = dropped.where(~F.col("d_id").eqNullSafe(F.col("d_keep")))
     kept = left.join(others, left["id"].eqNullSafe(others["d_id"]) & (left["sha"] == others["d_sha"]), "left_anti")
-    return kept.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
+    return kept.select(*unpacked(docs.columns))

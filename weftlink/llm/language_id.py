@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_of
+from .common import Workspace, carried, picked, text_of, unpacked
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -254,14 +254,14 @@ def keep_identified(docs: DataFrame, model: PieceModel, text_column: str = "text
     """Rows of ``docs``, with all columns, whose text is in some language; those that are ``und`` go: null texts, texts without a
     letter, and all where nothing was learned. Repeated rows stay as often as they come, ids and other columns may hold anything, and
     columns may have any names. An empty table gives no rows."""
-    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]) if docs.columns else F.struct()
-    plain = docs.select(row.alias("row"), text_of(docs, text_column).alias("body"))
+    rows = carried(docs, body=text_column)
+    plain = rows.select("row", text_of(rows, "body").alias("body"))
     schema = plain.select("row").schema.add("lang_pred", "string").add("score", "double")
     found = plain.mapInArrow(_scorer(model), schema).where("lang_pred <> 'und'")
-    return found.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
+    return found.select(*unpacked(docs.columns))
 
 
 def train_on_folds(docs: DataFrame, folds: int = 5, held_out: int = 0, **options) -> PieceModel:
     """Learns from labelled rows of ``docs`` (doc_id, text, lang) outside the held-out fold of ids; null texts and labels are left out."""
-    kept = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_fold(F.col("doc_id"), folds) != held_out))
-    return train_language_model(kept.select("doc_id", "lang", F.col("text").alias("body")), **options)
+    own = picked(docs, doc_id="doc_id", lang="lang", body="text")
+    return train_language_model(own.where(F.col("lang").isNotNull() & F.col("body").isNotNull() & (id_fold(F.col("doc_id"), folds) != held_out)), **options)

@@ -161,28 +161,30 @@ def image_tiles(images: DataFrame, column: str = "image", tile: tuple[int, int]
     Null or broken images get a null tile and hash and say why in ``problem``; the row stays. Images of any size are read whole;
     repeated rows are returned as often as they come; an empty table gives no rows. Columns named as results are replaced.
     """
-    names = [n for n in images.columns if n not in ("tile", "dhash", "problem")]
-    out = images.select(*[images[n] for n in names]).schema
+    every, results = images.columns, ["tile", "dhash", "problem"]
+    kept = [k for k, n in enumerate(every) if n not in results]
+    plain = images.toDF(*[f"c{k}" for k in range(len(every))]).select(*[f"c{k}" for k in kept])
+    names, place = plain.columns, kept.index(every.index(column))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tiles, hashes, problems = [], [], []
-            for value in batch.column(column):
+            for value in batch.column(place):
                 try:
                     image = decode_image(value.as_py() or b"")
                     if not image.size:
                         raise ValueError("an image without pixels")
-                    kept = image if tile is None else np.clip(np.rint(area_resize(image, *tile)), 0, 65535).astype(image.dtype)
-                    row = (to_npy(kept), difference_hash(image), None)
+                    sized = image if tile is None else np.clip(np.rint(area_resize(image, *tile)), 0, 65535).astype(image.dtype)
+                    row = (to_npy(sized), difference_hash(image), None)
                 except (ValueError, IndexError, struct.error) as error:
                     row = (None, None, str(error))
                 for held, x in zip((tiles, hashes, problems), row, strict=True):
                     held.append(x)
-            old = {n: batch.column(n) for n in names}
+            old = dict(zip(names, batch.columns, strict=True))
             yield pa.RecordBatch.from_pydict(old | {"tile": pa.array(tiles, pa.binary()), "dhash": pa.array(hashes, pa.string()), "problem": pa.array(problems, pa.string())})
 
-    out = out.add("tile", "binary").add("dhash", "string").add("problem", "string")
-    return images.select(*[images[n] for n in names]).mapInArrow(made, out)
+    schema = plain.schema.add("tile", "binary").add("dhash", "string").add("problem", "string")
+    return plain.mapInArrow(made, schema).toDF(*[every[k] for k in kept], *results)
 
 
 def _padded(text: bytes) -> bytes:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace, text_of
+from .common import WORD, Workspace, carried, text_of, unpacked
 
 #: Weights of sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -165,12 +165,12 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int
     Nulls, repeated rows, ties and documents without words as in ``mix_sources``; an empty table gives an empty one.
     """
     with Workspace(docs.sparkSession, "mixing") as work:
-        row = F.struct(F.lit(0).alias("none"), *[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)])
-        rows = docs.select(row.alias("row"), docs[id_column].alias("id"), docs[source_column].alias("source"), word_count(text_of(docs, text_column)).alias("size"))
+        rows = carried(docs, id=id_column, source=source_column, body=text_column)
+        rows = rows.select("row", "id", "source", word_count(text_of(rows, "body")).alias("size"))
         rows = work.put(rows.withColumn("uid", F.monotonically_increasing_id()), "rows", "zstd")
         mixed = work.put(mix_rows(rows.select("id", "source", "size", "uid"), work, weights, ceiling, bin_rows).where("copies > 0").select("uid", "copies"), "mixed")
         # what joins the texts grows with them: the plan of large inputs at every size
         repeated = rows.select("row", "uid").join(mixed.hint("merge"), "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-        out = work.put(repeated.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)]), "rows-taken", "zstd")
+        out = work.put(repeated.select(*unpacked(docs.columns)), "rows-taken", "zstd")
         work.clear("rows-taken")
         return out

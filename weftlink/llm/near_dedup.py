@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import pack_keys, unpack_keys, write_chunks
-from .common import Workspace, partitions, text_of
+from .common import Workspace, carried, partitions, text_of, unpacked
 from .components import connected
 from .grams import distinct, mix, run_hashes, text_buffers, words_of
 
@@ -415,11 +415,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_
     come last. An empty table gives an empty one.
     """
     with Workspace(docs.sparkSession, "near-dedup") as work:
-        plain = _plain(docs, id_column, text_column, F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")).drop("body")
+        plain = _plain(carried(docs, id=id_column, text=text_column), "id", "text", "row").drop("body")
         text = F.coalesce(F.col("row")[f"c{docs.columns.index(text_column)}"].cast("string"), F.lit(""))
         corpus, _ = write_chunks(plain, text, work, derived=True)
         kept = work.put(_components(corpus, work, words, percent), "result").where("kept").select("uid")
-        rows = corpus.join(kept, "uid", "left_semi").select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
+        rows = corpus.join(kept, "uid", "left_semi").select(*unpacked(docs.columns))
         out = work.put(rows, "rows-kept", "zstd")
         work.clear("rows-kept")
         return out

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_of, unsigned_crc
+from .common import Workspace, carried, text_of, unpacked, unsigned_crc
 
 
 @dataclass(frozen=True)
@@ -154,9 +154,11 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = 8192, id_col
     results = {"size": "size", "text_crc32": "crc", "shard": "shard", "slot": "slot", "map_version": "version", "vslot": "vslot"}
     kept = [c for c in (docs.columns if columns is None else columns) if c not in results]
     with Workspace(docs.sparkSession, "sharding") as work:
-        rows = docs.select(F.struct(F.lit(0).alias("none"), *[docs[c].alias(f"c{k}") for k, c in enumerate(kept)]).alias("row"), docs[id_column].alias("id"), text_of(docs, text_column).alias("body"))
+        whole = carried(docs, id=id_column, body=text_column)
+        own = F.struct(F.lit(0).alias("none"), *[F.col("row")[f"c{docs.columns.index(c)}"].alias(f"c{k}") for k, c in enumerate(kept)])
+        rows = whole.select(own.alias("row"), "id", text_of(whole, "body").alias("body"))
         out = shard_rows(rows, work, shards, slots, versions)
-        out = out.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(kept)], *[F.col(v).alias(k) for k, v in results.items()])
+        out = out.select(*unpacked(kept), *[F.col(v).alias(k) for k, v in results.items()])
         out = work.put(out, "shards")
         work.clear("shards", "slot-map")
         return out
