@@ -94,3 +94,43 @@ def test_long_regular_words_are_told_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, trained boolean")
     out = {r["doc_id"]: (r["n_tokens"], r["n_known"], r["train_tokens"]) for r in score_documents(docs, F.col("trained")).collect()}
     assert out == {1: (2, 2, 2), 2: (2, 1, 2)}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_partitions_do_not_matter(docs, parts):
+    from pyspark.sql import functions as F
+
+    def made(d):
+        out, weights = language_model(d, id_fold(F.col("doc_id"), 7) != 2)
+        return weights, sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in out.collect())
+
+    (w1, s1), (w2, s2) = made(docs), made(docs.repartition(parts, "text"))
+    assert np.allclose(w1, w2, rtol=1e-9) and s1 == s2
+
+
+def test_weights_come_from_the_fold(docs, rows):
+    """Cells of the held-out fold, from plain counts of the other training texts, give the same weights."""
+    from pyspark.sql import functions as F
+
+    from weftlink.llm.language_model import FOLDS, cells_of
+
+    folds = dict(docs.select(F.coalesce("text", F.lit("")), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)) == 0).distinct().collect())
+    learned = [r[1] or "" for r in rows if trained(r[0])]
+    counts, texts = [Counter() for _ in range(4)], 0
+    for t in learned:
+        if not folds[t]:
+            own, texts = ["<", "<", *tokens(t)], texts + 1
+            for n in (1, 2, 3):
+                counts[n].update(tuple(own[i - n + 1 : i + 1]) for i in range(2, len(own)))
+    found = []
+    for t in learned:
+        if folds[t]:
+            own = ["<", "<", *tokens(t)]
+            for i in range(2, len(own)):
+                last = texts if own[i - 1] == "<" else counts[1][(own[i - 1],)]
+                two = texts if own[i - 1] == "<" else counts[2][(own[i - 2], own[i - 1])]
+                found.append((counts[1][(own[i],)], last, counts[2][(own[i - 1], own[i])], two, counts[3][tuple(own[i - 2 : i + 1])]))
+    assert len(found) > 100
+    vocabulary = len({t for x in learned for t in tokens(x)})
+    want = learn_weights(cells_of(tuple(np.array(x) for x in zip(*found, strict=True)), sum(counts[1].values())), 1 / (vocabulary + 1))
+    assert np.allclose(language_model(docs, id_fold(docs["doc_id"], 7) != 2)[1], want, rtol=1e-6)
