@@ -205,13 +205,32 @@ def test_crawl(spark):
 def test_stream(spark, tmp_path):
     from weftlink.streaming.ingest import fetch_stream, upsert_stream
 
-    page_ = bytearray(b"<html><head><title>T</title></head><body><p>hello</p></body></html>")
-    rows = [("https://e.com/", 200, {"content-type": "text/html"}, page_, [], None)]
-    spark.createDataFrame(rows, FETCHES).write.parquet(f"{tmp_path}/in")
+    html = lambda t: bytearray(f"<html><head><title>{t}</title></head><body><p>hello</p></body></html>".encode())
+    rows = [("https://e.com/", 200, {"content-type": "text/html"}, html(t), [], None) for t in ("old", "older", "T")]
+    spark.createDataFrame(rows, FETCHES).coalesce(1).write.parquet(f"{tmp_path}/in")
     sites = spark.createDataFrame([("s", "en", None)], "id string, default_language string, default_region string")
-    upsert_stream(fetch_stream(spark, f"{tmp_path}/in"), sites, "s", ("e.com",), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    out = spark.read.parquet(f"{tmp_path}/out/0").collect()
-    assert [(r["url"], r["title"], r["language"], r["content_version"]) for r in out] == [("https://e.com/", "T", "en", 1)]
+    seen = []
+    for out in ("out", "again"):
+        upsert_stream(fetch_stream(spark, f"{tmp_path}/in"), sites, "s", ("e.com",), f"{tmp_path}/{out}", f"{tmp_path}/check-{out}").awaitTermination()
+        seen.append(spark.read.parquet(f"{tmp_path}/{out}/0").collect())
+    assert [(r["url"], r["title"], r["language"], r["content_version"]) for r in seen[0]] == [("https://e.com/", "T", "en", 1)]
+    assert seen[0] == seen[1]  # a batch that is run again writes the same rows
+
+
+def test_batches_with_repeated_keys(spark):
+    from weftlink.operators import relational as R
+
+    pages = spark.createDataFrame([page("a", content_html="x", content_version=1), page("b", content_html="y")], PAGES)
+    updates = [("s", "https://e.com/a/", 500, "/r", 2), ("s", "https://e.com/a/", 410, None, 3), ("s", "https://e.com/a/", 404, None, 1), ("s", "https://e.com/zz/", 404, None, 1)]
+    out = R.update_status(pages, spark.createDataFrame(updates, "site_id string, url string, http_status int, redirect_url string, position int"), F.lit(NOW)).collect()
+    assert sorted((r["id"], r["http_status"]) for r in out) == [("a", 410), ("b", 200)]
+    edits = [("a", 1, "one", [], 0), ("a", 1, "lost", [], 1), ("a", 2, "two", ["l"], 2), ("b", 9, "no", [], 0), ("zz", 1, "no", [], 0)]
+    out, failed = R.save_content(pages, spark.createDataFrame(edits, "id string, expected_version int, content_html string, outgoing_links array<string>, position int"), F.lit(NOW))
+    assert sorted((r["id"], r["content_html"], r["content_version"], r["outgoing_links"]) for r in out.collect()) == [("a", "two", 3, ["l"]), ("b", "y", 1, [])]
+    assert sorted(r["id"] for r in failed.collect()) == ["a", "b", "zz"]
+    once = spark.createDataFrame([("a", 1, "b", []), ("a", 1, "a", [])], "id string, expected_version int, content_html string, outgoing_links array<string>")
+    out, failed = R.save_content(pages, once, F.lit(NOW))
+    assert out.where("id = 'a'").first()["content_html"] == "a" and failed.count() == 1
 
 
 def test_settings():

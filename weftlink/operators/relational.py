@@ -112,6 +112,17 @@ def first_by_key(pages: DataFrame, keys: list[str], order: list[Column]) -> Data
     return pages.withColumn("duplicate", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1)
 
 
+def in_order(batch: DataFrame, *columns: str) -> Column:
+    """What rows of a batch are ordered by: ``position``, where it has one, then the columns, so that ties don't depend on the plan."""
+    return F.struct(*["position"] * ("position" in batch.columns), *columns)
+
+
+def last_by_key(batch: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row a key: the last of the batch."""
+    order = in_order(batch, *columns)
+    return batch.groupBy(*keys).agg(F.max(order).alias("_last")).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in columns])
+
+
 def insert_sites(sites: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The next snapshot, and the rows whose base URL is taken, in the table or earlier in the batch."""
     ranked = first_by_key(new, ["base_url"], [F.col("id")])
@@ -127,7 +138,7 @@ def upsert_pages(pages: DataFrame, items: DataFrame, sites: DataFrame, as_of: Co
     fall back to the site's, where empty counts as missing; all else is overwritten, by null too.
     """
     defaults = sites.select(F.col("id").alias("site_id"), "default_language", "default_region")
-    last = items.groupBy("site_id", "url").agg(F.max_by(F.struct(*[F.col(c) for c in items.columns if c not in ("site_id", "url")]), "position").alias("n"))
+    last = items.groupBy("site_id", "url").agg(F.max(in_order(items, *[c for c in items.columns if c not in ("site_id", "url", "position")])).alias("n"))
     new = last.join(defaults, "site_id", "left").select("site_id", "url", "n.*", "default_language", "default_region")
     old = pages.alias("o")
     both = old.join(new.alias("n"), (F.col("o.site_id") == F.col("n.site_id")) & (F.col("o.url") == F.col("n.url")), "full_outer")
@@ -152,8 +163,9 @@ def upsert_pages(pages: DataFrame, items: DataFrame, sites: DataFrame, as_of: Co
 
 
 def update_status(pages: DataFrame, updates: DataFrame, as_of: Column) -> DataFrame:
-    """Status, and redirect, of pages (site_id, url) that exist; content stays. Others are ignored."""
-    new = updates.select("site_id", "url", F.col("http_status").alias("_status"), F.col("redirect_url").alias("_redirect"), F.lit(True).alias("_hit"))
+    """Status, and redirect, of pages (site_id, url) that exist; content stays. Others are ignored. The last update of a page in the batch holds."""
+    last = last_by_key(updates, ["site_id", "url"], ["http_status", "redirect_url"])
+    new = last.select("site_id", "url", F.col("http_status").alias("_status"), F.col("redirect_url").alias("_redirect"), F.lit(True).alias("_hit"))
     both = pages.join(new, ["site_id", "url"], "left")
     hit = F.coalesce("_hit", F.lit(False))
     changed = {"http_status": "_status", "redirect_url": "_redirect"}
@@ -204,21 +216,30 @@ def review(suggestions: DataFrame, commands: DataFrame, as_of: Column) -> tuple[
 
 
 def save_content(pages: DataFrame, edits: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Content by (id, expected_version): the next snapshot, and ``id, error`` where another version is stored.
+    """Content by (id, expected_version): the next snapshot, and ``id, error`` of each edit where another version is stored.
 
-    ``edits``: id, expected_version, content_html, outgoing_links.
+    ``edits``: id, expected_version, content_html, outgoing_links, and position where a batch may hold several of a page: they are applied one after
+    another, each against the version that the one before has left.
     """
-    new = edits.select("id", F.col("expected_version").alias("_v"), F.col("content_html").alias("_html"), F.col("outgoing_links").alias("_links"))
-    both = pages.join(new, "id", "left").withColumn("_hit", F.coalesce(F.col("_v") == F.col("content_version"), F.lit(False)))
-    changed = {
-        "content_html": F.col("_html"),
-        "outgoing_links": F.col("_links"),
-        "content_version": F.col("content_version") + 1,
-        "updated_at": as_of,
-    }
-    out = both.select(*[F.when(F.col("_hit"), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in pages.columns])
-    failed = edits.join(both.where("_hit").select("id"), "id", "left_anti").select("id", F.lit("CONTENT_VERSION_CONFLICT").alias("error"))
-    return out, failed
+    order = in_order(edits, "expected_version", "content_html", "outgoing_links")
+    asked = edits.groupBy("id").agg(F.sort_array(F.collect_list(order)).alias("_edits"))
+    both = pages.join(asked, "id", "left")
+    begin = F.struct(F.col("content_version").alias("version"), F.col("content_html").alias("html"), F.col("outgoing_links").alias("links"), F.lit(0).alias("failed"))
+
+    def applied(done: Column, edit: Column) -> Column:
+        fits = F.coalesce(edit["expected_version"] == done["version"], F.lit(False))
+        kept = F.struct(done["version"].alias("version"), done["html"].alias("html"), done["links"].alias("links"), (done["failed"] + 1).alias("failed"))
+        new = F.struct((done["version"] + 1).alias("version"), edit["content_html"].alias("html"), edit["outgoing_links"].alias("links"), done["failed"].alias("failed"))
+        return F.when(fits, new).otherwise(kept)
+
+    both = both.withColumn("_done", F.aggregate(F.coalesce("_edits", F.array().cast(asked.schema["_edits"].dataType)), begin, applied))
+    hit = F.col("_done.version") != F.col("content_version")
+    changed = {"content_html": F.col("_done.html"), "outgoing_links": F.col("_done.links"), "content_version": F.col("_done.version"), "updated_at": as_of}
+    out = both.select(*[F.when(hit, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in pages.columns])
+    error = F.lit("CONTENT_VERSION_CONFLICT").alias("error")
+    failed = both.where("_done.failed > 0").select("id", F.explode(F.array_repeat(error, F.col("_done.failed"))).alias("error"))
+    missing = edits.join(pages.select("id"), "id", "left_anti").select("id", error)
+    return out, failed.unionByName(missing)
 
 
 def suggestion_rows(details: DataFrame) -> DataFrame:

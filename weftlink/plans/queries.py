@@ -15,8 +15,8 @@ from ..operators import anchors as N
 from ..operators import relational as R
 from ..operators import retrieval as V
 from ..operators import scoring as C
-from ..operators.exclusion import candidate_pairs, page_features, reason_counts
-from ..sources.robots import allowed_urls
+from ..operators.exclusion import candidate_pairs, page_features
+from ..sources.robots import allowed_urls, parse_robots
 from .analyze import analyze, parsed
 from .inventory import SQL as PAGES_SQL
 from .inventory import inventory, page_table
@@ -270,12 +270,6 @@ def exclusion_cascade(spark, sf_dir):
     return _pairs(spark, sf_dir).select("source_page_id", "target_page_id", "reason")
 
 
-@query(_PAIRS_SQL + "SELECT source_page_id, reason, count(*) AS n FROM c WHERE reason IS NOT NULL GROUP BY ALL")
-def reason_count_rows(spark, sf_dir):
-    counts = reason_counts(_pairs(spark, sf_dir))
-    return counts.select("source_page_id", F.explode("excluded_counts").alias("reason", "n"))
-
-
 # --- text -----------------------------------------------------------------------------------------------
 
 
@@ -486,6 +480,42 @@ def robots_longest_match(spark, sf_dir):
     return allowed_urls(p, every).select("page_id", "allowed")
 
 
+_LINES_SQL = (
+    f"WITH {PAGES_SQL}, l AS (SELECT host, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS n, (page_id % 9)::INTEGER AS kind, CASE page_id % 9 WHEN 0 THEN 'mybot' WHEN 1 THEN path WHEN 2 THEN '*' WHEN 3 THEN path WHEN 4 THEN (page_id % 7) || '.5' "
+    "WHEN 5 THEN 'https://' || host || '/s' || page_id % 2 || '.xml' WHEN 6 THEN '' WHEN 7 THEN 'soon' ELSE 'other' END AS value FROM k), "
+    "r AS (SELECT *, kind IN (0, 2, 8) AS agent FROM l WHERE kind <> 5), b AS (SELECT *, agent AND NOT coalesce(lag(agent) OVER (PARTITION BY host ORDER BY n), false) AS begins FROM r), "
+    "g AS (SELECT *, sum(begins::INTEGER) OVER (PARTITION BY host ORDER BY n) AS grp FROM b), "
+    "h AS (SELECT host, grp, bool_or(kind = 0) AS own, bool_or(kind = 2) AS anyone, arg_max(value::DOUBLE, n) FILTER (kind = 4) AS delay FROM (SELECT * REPLACE (CASE WHEN kind = 4 THEN value END AS value) FROM g) WHERE grp > 0 GROUP BY host, grp), "
+    "c AS (SELECT * FROM (SELECT *, bool_or(own) OVER (PARTITION BY host) AS known FROM h) WHERE own OR (anyone AND NOT known)) "
+)
+
+
+def _robots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Robots files made of the pages of a host, a line a page: agents, rules, delays and sitemaps in any order."""
+    n = F.col("page_id")
+    host, path, part = F.col("host"), F.col("path"), (n % 9).cast("int")
+    line = (
+        F.when(part == 0, F.lit("User-Agent : MyBot")).when(part == 1, F.concat(F.lit("Disallow: "), path, F.lit(" # page"))).when(part == 2, F.lit(" user-agent:*")).when(part == 3, F.concat(F.lit("ALLOW:"), path))
+        .when(part == 4, F.concat(F.lit("Crawl-delay: "), (n % 7).cast("string"), F.lit(".5"))).when(part == 5, F.concat(F.lit("Sitemap: https://"), host, F.lit("/s"), (n % 2).cast("string"), F.lit(".xml")))
+        .when(part == 6, F.lit("Disallow:")).when(part == 7, F.lit("Crawl-delay: soon")).otherwise(F.lit("User-agent: Other"))
+    )
+    lines = inventory(spark, sf_dir).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("page_id", line.alias("line")))).alias("l"))
+    return parse_robots(lines.select("host", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text")), "MyBot/2.0")
+
+
+@query(_LINES_SQL + "SELECT host, n::INTEGER AS n, kind = 3 AS allow, value AS pattern FROM g JOIN c USING (host, grp) WHERE kind IN (1, 3)")
+def robots_rules(spark, sf_dir):
+    return _robots(spark, sf_dir)[0]
+
+
+@query(
+    _LINES_SQL + ", m AS (SELECT host, array_to_string(list(value ORDER BY n), ' ') AS maps FROM (SELECT host, value, min(n) AS n FROM l WHERE kind = 5 GROUP BY ALL) GROUP BY host), d AS (SELECT host, max(delay) AS crawl_delay FROM c GROUP BY host) "
+    "SELECT host, crawl_delay, coalesce(maps, '') AS sitemaps, NOT EXISTS (SELECT 1 FROM c WHERE c.host = x.host) AS allow_all FROM (SELECT DISTINCT host FROM k) x LEFT JOIN d USING (host) LEFT JOIN m USING (host)"
+)
+def robots_hosts(spark, sf_dir):
+    return _robots(spark, sf_dir)[1].withColumn("sitemaps", F.array_join("sitemaps", " "))
+
+
 @query(
     f"WITH {PAGES_SQL} SELECT host, count(*) AS fetched, count(*) FILTER (http_status BETWEEN 200 AND 299) AS live, count(*) FILTER (http_status >= 400) AS errors, count(*) FILTER (http_status IS NULL) AS unreachable, "
     "len(list(url ORDER BY url) FILTER (http_status >= 400)[1:3]) AS listed, coalesce(count(*) FILTER (http_status >= 400) > 3, false) AS truncated FROM k GROUP BY host"

@@ -11,7 +11,8 @@ from ..functions import urls as U
 from ..operators import relational as R
 from ..operators import retrieval as V
 from ..operators.crawling import followable
-from ..operators.exclusion import candidate_pairs, linked_keys, page_features, reason_counts
+from ..operators.exclusion import candidate_pairs, linked_keys, page_features
+from ..operators.page_classes import PageClasses
 from .inventory import SQL as PAGES_SQL
 from .inventory import inventory
 from .queries import ASSET_SQL, BARE_SQL, LOCALE_SQL, TRACKED_SQL, UTILITY_SQL, _case, grams_sql, query, tokens_sql
@@ -131,10 +132,37 @@ def exclusion_every_reason(spark, sf_dir):
     return _every(spark, sf_dir).select("source_page_id", "target_page_id", "reason")
 
 
+def _classes(spark: SparkSession, sf_dir: str) -> PageClasses:
+    pages = stored(site_pages(spark, sf_dir), "site")
+    log = site_log(pages)
+    none = pages.select("id", F.array().cast("array<string>").alias("links"))
+    return PageClasses(stored(page_features(pages, Settings()), "features"), linked_keys(pages, none), Settings(), R.active_pairs(log), R.rejected_pairs(log, _when(AS_OF), COOLDOWN))
+
+
 @query(_EVERY_SQL + "SELECT reason, count(*) AS n, count(DISTINCT source_page_id) AS sources FROM every WHERE reason IS NOT NULL GROUP BY reason")
 def exclusion_totals(spark, sf_dir):
-    counts = reason_counts(_every(spark, sf_dir)).select("source_page_id", F.explode("excluded_counts").alias("reason", "k"))
-    return counts.groupBy("reason").agg(F.sum("k").alias("n"), F.count("*").alias("sources"))
+    """Pairs by reason, counted by classes of pages: no plan makes a row a pair."""
+    counts = _classes(spark, sf_dir).counts().where("reason is not null")
+    return counts.groupBy("reason").agg(F.sum("n").alias("n"), F.count("*").alias("sources"))
+
+
+@query(_EVERY_SQL + "SELECT source_page_id, reason, count(*) AS n FROM every WHERE reason IS NOT NULL GROUP BY ALL")
+def reason_count_rows(spark, sf_dir):
+    return _classes(spark, sf_dir).counts().where("reason is not null")
+
+
+@query(_EVERY_SQL + "SELECT source_page_id, count(*) AS n FROM every WHERE reason IS NULL GROUP BY source_page_id")
+def eligible_counts(spark, sf_dir):
+    return _classes(spark, sf_dir).counts().where("reason is null").select("source_page_id", "n")
+
+
+@query(_EVERY_SQL + "SELECT a.id AS source_page_id, b.id AS target_page_id FROM w a JOIN w b ON a.site_id = b.site_id AND a.title = b.title JOIN every e ON e.source_page_id = a.id AND e.target_page_id = b.id WHERE e.reason IS NULL")
+def eligible_same_title(spark, sf_dir):
+    """Pairs of a site with one title, as far as they are eligible: given pairs are judged alone."""
+    classes = _classes(spark, sf_dir)
+    pages = site_pages(spark, sf_dir).select("site_id", "id", "title")
+    pairs = pages.toDF("site_id", "source_page_id", "title").join(pages.toDF("site_id", "target_page_id", "title"), ["site_id", "title"])
+    return classes.eligible(pairs)
 
 
 # --- listings and lookups --------------------------------------------------------------------------
@@ -203,7 +231,8 @@ def update_status(spark, sf_dir):
     pages = site_pages(spark, sf_dir)
     updates = pages.where("page_id % 3 = 0").select("site_id", "url", F.lit(410).alias("http_status"), F.lit(None).cast("string").alias("redirect_url"))
     missing = updates.limit(1).withColumn("url", F.lit("https://nowhere.example/"))
-    return R.update_status(pages, updates.unionByName(missing), _when(AS_OF)).select("id", "http_status", "redirect_url", "content_html")
+    first = updates.withColumn("http_status", F.lit(500)).withColumn("position", F.lit(0))  # two updates of each page: the last one holds
+    return R.update_status(pages, updates.unionByName(missing).withColumn("position", F.lit(1)).unionByName(first), _when(AS_OF)).select("id", "http_status", "redirect_url", "content_html")
 
 
 @query(f"WITH {SITE_SQL} SELECT 'n' || id AS id FROM nexts WHERE other IS NOT NULL AND ((id, other) IN (SELECT (source_page_id, target_page_id) FROM log WHERE status IN {ACTIVE_SQL}))")
@@ -236,11 +265,24 @@ def review_refused(spark, sf_dir):
     return _review(spark, sf_dir)[1]
 
 
-@query(f"WITH {SITE_SQL} SELECT id, CASE WHEN page_id % 2 = 0 AND page_id % 3 <> 0 THEN 'edited' ELSE content_html END AS content_html, CASE WHEN page_id % 2 = 0 AND page_id % 3 <> 0 THEN 2 ELSE 1 END AS content_version FROM w")
+def _edits(pages: DataFrame) -> DataFrame:
+    """Three edits of every second page, one after another: the first fits but for every third page, the second was made from the same version, the third fits where the first did."""
+    some = pages.where("page_id % 2 = 0")
+    versions = ((0, F.when(F.col("page_id") % 3 == 0, 7).otherwise(1), "edited"), (1, F.lit(1), "again"), (2, F.lit(2), "later"))
+    kinds = [some.select("id", F.lit(p).alias("position"), v.alias("expected_version"), F.lit(t).alias("content_html"), "outgoing_links") for p, v, t in versions]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+@query(f"WITH {SITE_SQL} SELECT id, CASE WHEN page_id % 2 = 0 THEN 'later' ELSE content_html END AS content_html, CASE WHEN page_id % 2 = 0 THEN 3 ELSE 1 END AS content_version FROM w")
 def save_content(spark, sf_dir):
     pages = site_pages(spark, sf_dir)
-    edits = pages.where("page_id % 2 = 0").select("id", F.when(F.col("page_id") % 3 == 0, 7).otherwise(1).alias("expected_version"), F.lit("edited").alias("content_html"), "outgoing_links")
-    return R.save_content(pages, edits, _when(AS_OF))[0].select("id", "content_html", "content_version")
+    return R.save_content(pages, _edits(pages), _when(AS_OF))[0].select("id", "content_html", "content_version")
+
+
+@query(f"WITH {SITE_SQL} SELECT id, 'CONTENT_VERSION_CONFLICT' AS error FROM w WHERE page_id % 2 = 0")
+def save_content_refused(spark, sf_dir):
+    pages = site_pages(spark, sf_dir)
+    return R.save_content(pages, _edits(pages), _when(AS_OF))[1]
 
 
 # --- retrieval with both sides -----------------------------------------------------------------------
