@@ -92,4 +92,39 @@ def test_bound_on_languages(spark):
     from pyspark.sql import functions as F
 
     labelled = docs.where("text is not null").select("doc_id", "lang", F.col("text").alias("body"))
-    assert train_language_model(labelled, languages=2).languages == sorted(r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2).collect())
+    every = labelled.unionByName(labelled.limit(9).withColumn("lang", F.lit("und")))
+    assert train_language_model(every).languages == sorted(r["lang"] for r in labelled.select("lang").where("lang is not null").distinct().collect())
+
+
+def test_every_label_is_a_language(spark):
+    """250 labels, each with words of its own; the rarest has one document and is predicted and kept."""
+    import random
+
+    from weftlink.llm.language_id import identify_language, keep_identified, train_language_model
+
+    rng = random.Random(5)
+    rows, probes = [], []
+    for k in range(250):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        rows += [(k * 10 + j, f"l{k:03}", " ".join(rng.choices(words, k=20))) for j in range(1 if k == 249 else 2)]
+        probes.append((k, " ".join(words * 2)))
+    model = train_language_model(spark.createDataFrame(rows, "doc_id long, lang string, body string"))
+    assert len(model.languages) == 250
+    docs = spark.createDataFrame(probes, "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in identify_language(docs, model).collect()}
+    assert got[249] == "l249" and sum(got[k] == f"l{k:03}" for k in got) >= 245
+    assert keep_identified(docs, model).count() == 250
+
+
+def test_long_words_and_small_tables(monkeypatch):
+    from weftlink.llm import language_id as L
+
+    model = L.PieceModel(["▁", "a", "b", "ab", "▁a", "ba", "bab"], ["x", "y"])
+    model = model.updated(model.expected_counts(["abab", "bba", "aab"], np.array([[3.0, 0], [0, 2.0], [1.0, 1.0]])))
+    words = ["ab" * 30, "a" * 45, "abba", "bab" * 21, "éa" * 20]
+    whole = model.log_chances(words)
+    monkeypatch.setattr(L, "RUN", 17)
+    assert np.allclose(model.log_chances(words), whole)
+    held = L._Words(model)
+    held.room = 2
+    assert np.allclose(held.total(words * 3, False), whole.sum(axis=0) * 3 + model.prior)

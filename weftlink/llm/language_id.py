@@ -15,7 +15,6 @@ from itertools import groupby
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ from .common import Workspace, carried, picked, text_of, unpacked
 _LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 LONGEST = 16
+#: Letters times languages of words that are worked on at once; known words times languages that a worker keeps; letters of a run of a longer word.
+CELLS, KEPT_CELLS, RUN = 800_000, 8_000_000, 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(LONGEST + 1, _BASE, dtype=np.uint64)) * np.uint64(0xD1B54A32D192ED03)
 
@@ -118,15 +119,35 @@ class PieceModel:
     def log_chances(self, words: list[str]) -> np.ndarray:
         """Natural logarithm of each word's probability in each language."""
         out = np.zeros((len(words), len(self.languages)))
-        for some, codes, found in self._by_length(words, 200_000):
+        long = [k for k, w in enumerate(words) if len(w) > RUN]
+        short = [k for k, w in enumerate(words) if len(w) <= RUN] if long else range(len(words))
+        for some, codes, found in self._by_length([words[k] for k in short], CELLS // max(1, len(self.languages))):
             sums, scale = self._sums(codes, found)
-            out[some] = np.log(np.maximum(sums[:, -1], 1e-300)) + scale[:, -1]
+            out[[short[k] for k in some]] = np.log(np.maximum(sums[:, -1], 1e-300)) + scale[:, -1]
+        for k in long:
+            out[k] = self._long_chance(MARK + words[k])
         return out
 
+    def _long_chance(self, word: str) -> np.ndarray:
+        """The same of one long word, in runs of letters: only the sums of the last ``LONGEST`` places are kept."""
+        table = np.vstack([self.chance, np.zeros(self.chance.shape[1])])
+        last, log = [np.ones(table.shape[1])], np.zeros(table.shape[1])  # sums up to the letters before, the newest last
+        for at in range(0, len(word), RUN):
+            low = max(0, at - LONGEST)
+            codes = _codes([word[low : at + RUN]])
+            found = [self._find(codes, length)[0] for length in range(1, min(LONGEST, codes.shape[1]) + 1)]
+            for j in range(at + 1, min(at + RUN, len(word)) + 1):
+                last.append(sum(last[-length] * table[found[length - 1][j - length - low]] for length in range(1, min(LONGEST, j) + 1)))
+                del last[:-LONGEST]
+                if j % 16 == 0:
+                    top = np.maximum(last[-1], 1e-300)
+                    last, log = [x / top for x in last], log + np.log(top)
+        return np.log(np.maximum(last[-1], 1e-300)) + log
+
     def expected_counts(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in each language; ``counts[w, l]``: how often word w is in language l."""
         out = np.zeros_like(self.chance)
-        for some, codes, found in self._by_length(words, 100_000):
+        for some, codes, found in self._by_length(words, CELLS // 2 // max(1, len(self.languages))):
             size = codes.shape[1]
             forward, before = self._sums(codes, found)
             backward, after = self._sums(codes, found, backward=True)
@@ -138,8 +159,10 @@ class PieceModel:
                     there = piece >= 0
                     if there.any():
                         used = (share * forward[:, i] * backward[:, i + length] * np.exp(before[:, i] + after[:, i + length] - whole))[there] * self.chance[piece[there]]
-                        for k in range(out.shape[1]):
-                            out[:, k] += np.bincount(piece[there], weights=used[:, k], minlength=len(out))
+                        order = np.argsort(piece[there], kind="stable")
+                        pieces = piece[there][order]
+                        heads = np.flatnonzero(np.diff(pieces, prepend=-1))
+                        out[pieces[heads]] += np.add.reduceat(used[order], heads, axis=0)
         return out
 
     def updated(self, expected: np.ndarray) -> PieceModel:
@@ -158,52 +181,57 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         keys = list(held)
-        batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(held.values(), pa.int64())], ["lang", "word", "n"])
+        batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array(held.values(), pa.int64())], ["k", "word", "n"])
         held.clear()
         return batch
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.update((lang, w) for w in letter_words(text))
+            held.update((lang, w[at : at + RUN]) for w in letter_words(text) for at in range(0, len(w), RUN))
             if len(held) > 200_000:
                 yield out()
     yield out()
 
 
-def train_language_model(labelled: DataFrame, sample: int = 1000, rounds: int = 3, pieces_path: str | None = None, languages: int = 200) -> PieceModel:
-    """Learns from ``labelled`` (doc_id, lang, body): about ``sample`` documents of each of the ``languages`` with most documents (ties
-    by name), chosen by a hash of their ids. Those bounds and ``rounds`` of expectation-maximisation are the parameters of the fit.
+def train_language_model(labelled: DataFrame, sample: int = 1000, rounds: int = 3, pieces_path: str | None = None) -> PieceModel:
+    """Learns from ``labelled`` (doc_id, lang, body): about ``sample`` documents of each language, chosen by a hash of their ids. That bound
+    and ``rounds`` of expectation-maximisation are the parameters of the fit.
 
-    The driver holds the counts of the vocabulary's pieces in each language, a fixed number. Texts are read whole and words may be
-    of any length; repeated rows count as often as they come; null ids are one id; without rows the model knows no language.
+    Every label is a language, but ``und``, which says that there is none: its rows are not learned from. The driver holds the counts of
+    the vocabulary's pieces in each language. Texts are read whole; words of more than ``RUN`` letters are learned from in runs of that length; repeated
+    rows count as often as they come; null ids are one id; without rows the model knows no language.
     """
-    most = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    many = {row["lang"]: row["count"] for row in most.collect()}
+    labelled = labelled.where("lang <> 'und'")
+    many = {row["lang"]: row["count"] for row in labelled.groupBy("lang").count().collect()}  # a row a label
     names = sorted(many)
     pieces = public_pieces(pieces_path)
     model = PieceModel(pieces, names)
     if not names:
         return model
     model.prior = np.log(np.array([many[x] for x in names]) / sum(many.values()))
-    spark, work = labelled.sparkSession, Workspace(labelled.sparkSession, "language-id")
-    share = spark.createDataFrame([(x, min(1.0, sample / many[x])) for x in names], "lang string, share double")
+    spark, work, total_width = labelled.sparkSession, Workspace(labelled.sparkSession, "language-id"), len(names)
+    share = spark.createDataFrame([(x, k, min(1.0, sample / many[x])) for k, x in enumerate(names)], "lang string, k int, share double")
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.col("share") * 1_000_000
-    taken = labelled.join(F.broadcast(share), "lang").where(chosen).select("lang", "body")
-    words = taken.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("word").pivot("lang", names).agg(F.sum("n")).fillna(0)
-    columns = [f"n{k}" for k in range(len(names))]
-    words = work.put(words.toDF("word", *columns), "words")
+    taken = labelled.join(F.broadcast(share), "lang").where(chosen).select("k", "body")
+    words = taken.mapInArrow(_word_counts, "k int, word string, n long").groupBy("word", "k").agg(F.sum("n").alias("n"))
+    words = work.put(words.groupBy("word").agg(F.collect_list("k").alias("k"), F.collect_list("n").alias("n")), "words")
     for _ in range(rounds):
         current = model
 
-        def expect(frames: Iterator[pd.DataFrame], model: PieceModel = current) -> Iterator[pd.DataFrame]:
-            total = np.zeros_like(model.chance)
-            for frame in frames:
-                total += model.expected_counts(frame["word"].tolist(), frame[columns].to_numpy(dtype=np.float64))
+        def expect(batches: Iterator[pa.RecordBatch], model: PieceModel = current) -> Iterator[pa.RecordBatch]:
+            total, step = np.zeros_like(model.chance), max(1, KEPT_CELLS // total_width)
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    some = batch.slice(at, step)
+                    langs, used = some.column("k"), some.column("n")
+                    counts = np.zeros((some.num_rows, total_width))
+                    counts[np.repeat(np.arange(some.num_rows), langs.value_lengths().to_numpy()), langs.flatten().to_numpy()] = used.flatten().to_numpy()
+                    total += model.expected_counts(some.column("word").to_pylist(), counts)
             piece, lang = np.nonzero(total)
-            yield pd.DataFrame({"piece": piece, "lang": lang, "used": total[piece, lang]})
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "used"])
 
         expected = np.zeros_like(model.chance)
-        parts = words.mapInPandas(expect, "piece long, lang long, used double").groupBy("piece", "lang").agg(F.sum("used").alias("used"))
+        parts = words.mapInArrow(expect, "piece long, lang long, used double").groupBy("piece", "lang").agg(F.sum("used").alias("used"))
         found = parts.toPandas()  # one number for each piece of the fixed vocabulary and language
         expected[found["piece"], found["lang"]] = found["used"]
         model = model.updated(expected)
@@ -211,26 +239,63 @@ def train_language_model(labelled: DataFrame, sample: int = 1000, rounds: int =
     return model
 
 
-def _scorer(model: PieceModel, limit: int = 400_000):
+class _Words:
+    """Chances of the words that a worker has met, in a table of bounded size."""
+
+    def __init__(self, model: PieceModel):
+        self.model, self.known = model, {}
+        self.room = max(1024, KEPT_CELLS // max(1, len(model.languages)))
+        self.table = np.empty((self.room, len(model.languages)))
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > self.room:
+            self.known, new = {}, words
+        if new:
+            at = len(self.known)
+            self.table[at : at + len(new)] = self.model.log_chances(list(new))
+            self.known.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def total(self, words: list[str], learned: bool) -> np.ndarray:
+        out = self.model.prior.copy()
+        for at in range(0, len(words), self.room if not learned else len(words)):
+            some = words[at : at + self.room] if not learned else words
+            if not learned:
+                self.learn(set(some))
+            rows = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
+            for k in range(0, len(rows), 1 << 16):
+                out += self.table[rows[k : k + (1 << 16)]].sum(axis=0)
+        return out
+
+
+def _groups(texts: list[str], most: int = 256, letters: int = 1 << 20) -> Iterator[list[str]]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if len(held) == most or size > letters:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _scorer(model: PieceModel):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        table = np.zeros((0, len(model.languages)))
+        words = _Words(model)
         for batch in batches:
             picked, scores = [], []
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                split = [letter_words(x) for x in texts[at : at + 256]]
-                if len(known) > limit:
-                    known, table = {}, table[:0]
-                new = list(set().union(*split).difference(known))
-                known.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
-                table = np.vstack([table, model.log_chances(new)]) if new else table
-                for words in split:
-                    if not words or not model.languages:
+            for texts in _groups(batch.column(1).to_pylist()):
+                split = [letter_words(x) for x in texts]
+                every = set().union(*split)
+                if learned := len(every) <= words.room:
+                    words.learn(every)
+                for found in split:
+                    if not found or not model.languages:
                         picked.append("und")
                         scores.append(0.0)
                         continue
-                    total = table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0) + model.prior
+                    total = words.total(found, learned)
                     best = int(total.argmax())
                     picked.append(model.languages[best])
                     scores.append(float(1.0 / np.exp(total - total[best]).sum()))
