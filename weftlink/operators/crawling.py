@@ -9,6 +9,7 @@ from ..functions import urls as U
 from ..functions.extract import extract_page
 from ..sources.bronze import decode_body, header, is_html
 from ..sources.robots import allowed_urls
+from .relational import resolve_urls
 
 MAX_ERRORS = 200
 
@@ -107,6 +108,51 @@ def failed_updates(fetched: DataFrame, existing: DataFrame) -> DataFrame:
     return bad.join(existing, "key").select(F.col("stored_url").alias("url"), "http_status", F.lit(None).cast("string").alias("redirect_url"))
 
 
+#: Fixed value: stored redirects that are followed.
+MAX_STORED_REDIRECTS = 5
+
+_CHAINS = """
+WITH RECURSIVE chain (request, page_id, hops, seen, looped) AS (
+  SELECT request, page_id, 0, array(page_id), false FROM {begins}
+  UNION ALL
+  SELECT c.request, e.next, c.hops + 1, concat(c.seen, array(e.next)), c.looped OR array_contains(c.seen, e.next) FROM chain c JOIN {edges} e ON e.page_id = c.page_id WHERE c.hops < {most}
+)
+SELECT request, max(hops) AS hops, max_by(page_id, hops) AS page_id, max(looped) AS looped FROM chain GROUP BY request
+"""
+
+
+def redirect_chains(begins: DataFrame, edges: DataFrame, most: int = MAX_STORED_REDIRECTS) -> DataFrame:
+    """``request, hops, page_id, looped``: where the redirects (page_id, next) from the pages of ``begins`` (request, page_id) lead, after ``most`` hops at the latest."""
+    return begins.sparkSession.sql(_CHAINS, begins=begins.select("request", "page_id"), edges=edges.select("page_id", "next"), most=most)
+
+
+def discover_pages(requests: DataFrame, pages: DataFrame, fetched: DataFrame) -> DataFrame:
+    """``request, page_id, hops, looped, error, http_status``: the page that a URL ends up on, or why there is none.
+
+    ``requests``: request; ``pages``: the page table after the fetch; ``fetched``: request, kind, status of fetching it (kinds of ``extracted``, and
+    ROBOTS_DISALLOWED). A request that no page stands for fails by how its fetch ended; one whose redirects leave the stored pages is
+    PAGE_REDIRECTED, and one that ends on a page without success PAGE_HTTP_ERROR.
+    """
+    resolved = resolve_urls(requests.select("request").distinct(), pages).select("request", "page_id")
+    onward = pages.where("redirect_url <> ''").select("id", F.col("redirect_url").alias("request"))
+    found = resolve_urls(onward.select("request").distinct(), pages).select("request", F.col("page_id").alias("next"))
+    edges = onward.join(found, "request").where("next is not null").select(F.col("id").alias("page_id"), "next")
+    ends = redirect_chains(resolved.where("page_id is not null"), edges)
+    last = pages.select(F.col("id").alias("page_id"), "http_status", (F.coalesce("redirect_url", F.lit("")) != "").alias("leads_on"))
+    ends = ends.join(last, "page_id").join(edges.select("page_id", F.lit(True).alias("known")), "page_id", "left")
+    lost = F.col("leads_on") & F.col("known").isNull() & (F.col("hops") < MAX_STORED_REDIRECTS)
+    bad = ~F.col("http_status").between(200, 299)
+    ends = ends.select("request", "page_id", "hops", "looped", F.when(lost, "PAGE_REDIRECTED").when(bad, "PAGE_HTTP_ERROR").alias("error"), F.when(~lost & bad, F.col("http_status")).alias("http_status"))
+    kind = F.col("kind")
+    why = (
+        F.when(kind == "ROBOTS_DISALLOWED", "PAGE_BLOCKED_BY_ROBOTS").when(kind == "NOT_HTML", "PAGE_NOT_HTML").when(kind == "HTTP_ERROR", "PAGE_HTTP_ERROR")
+        .when(kind == "REDIRECT_BLOCKED", "PAGE_URL_BLOCKED").when(kind == "UNREACHABLE", "PAGE_FETCH_FAILED").otherwise("PAGE_NOT_STORED")
+    )
+    none = resolved.where("page_id is null").join(fetched.select("request", "kind", "status"), "request", "left")
+    none = none.select("request", "page_id", F.lit(0).alias("hops"), F.lit(False).alias("looped"), why.alias("error"), F.when(kind == "HTTP_ERROR", F.col("status")).alias("http_status"))
+    return ends.unionByName(none).withColumn("page_id", F.when(F.col("error").isNull(), F.col("page_id")))
+
+
 def report(fetched: DataFrame, items: DataFrame, discovered: int) -> DataFrame:
     """One row: counts by outcome, and the first 200 errors with whether there are more."""
     error = F.when(F.col("kind").isin("HTTP_ERROR", "UNREACHABLE", "REDIRECT_BLOCKED"), F.struct("url", F.col("kind").alias("code"), F.col("status").alias("status")))

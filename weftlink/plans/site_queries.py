@@ -10,12 +10,14 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import relational as R
 from ..operators import retrieval as V
-from ..operators.crawling import followable
+from ..operators.crawling import discover_pages, followable
 from ..operators.exclusion import candidate_pairs, linked_keys, page_features
-from ..operators.page_classes import PageClasses
+from ..operators.page_classes import SOURCE_CLASS, PageClasses
+from ..operators.scopes import Scopes
+from ..operators.scopes import scoped_scores as score_in_scopes
 from .inventory import SQL as PAGES_SQL
 from .inventory import inventory
-from .queries import ASSET_SQL, BARE_SQL, LOCALE_SQL, TRACKED_SQL, UTILITY_SQL, _case, grams_sql, query, tokens_sql
+from .queries import ASSET_SQL, BARE_SQL, LOCALE_SQL, TRACKED_SQL, UTILITY_SQL, _case, _list, grams_sql, query, tokens_sql
 from .stored import stored
 
 _COPY = "CASE WHEN starts_with(url, 'https:') THEN 'http' ELSE 'https' END || '://www.' || regexp_replace(netloc, '^www\\.', '') || path || '/' || CASE WHEN query = '' THEN '' ELSE '?' || query END"
@@ -165,6 +167,62 @@ def eligible_same_title(spark, sf_dir):
     return classes.eligible(pairs)
 
 
+# --- scores in the scope of each source ----------------------------------------------------------------
+
+
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the site for scoring; their copy is that of the raw page."""
+    body = F.regexp_replace(F.regexp_replace("html", r"(?s)^.*<article>|</article>.*$", ""), "<[^>]*>", " ")
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", body.alias("body"))
+    pages = site_pages(spark, sf_dir).join(raw, "page_id")
+    return stored(pages.select("site_id", F.col("id").alias("page_id"), "url", "title", "h1", "meta_description", "keywords", "language", "region", "body"), "shown")
+
+
+_GENERIC_SQL = f"len(list_filter(string_split(term, ' '), lambda x: x NOT IN ({_list(X.GENERIC_TERMS)}))) = 0"
+_SCOPE_SQL = (
+    _EVERY_SQL
+    + f", q AS (SELECT w.id, w.url, w.language, w.region, w.title, w.h1, {tokens_sql('w.title')} AS tt, {tokens_sql('w.h1')} AS th, {tokens_sql('regexp_replace(w.path, $$[/_-]+$$, $$ $$, $$g$$)')} AS ts, "
+    + tokens_sql("regexp_replace(regexp_replace(k.html, '(?s)^.*<article>|</article>.*$', '', 'g'), '<[^>]*>', ' ', 'g')")
+    + " AS body FROM w JOIN k USING (page_id)), el AS (SELECT source_page_id AS a, target_page_id AS b FROM every WHERE reason IS NULL), "
+    "scope AS (SELECT a, b FROM el UNION ALL SELECT id, id FROM q), words AS (SELECT DISTINCT id, unnest(list_concat(tt, th, ts)) AS term FROM q), sizes AS (SELECT a, count(*) AS n FROM scope GROUP BY a), "
+    "dfs AS (SELECT a, term, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM scope JOIN words ON words.id = scope.b JOIN sizes USING (a) GROUP BY a, term), "
+    f"wt AS (SELECT a, term, df, idf / max(idf) OVER (PARTITION BY a) * CASE WHEN {_GENERIC_SQL} THEN 0.05 ELSE 1 END AS w FROM dfs) "
+)
+_SCOPED_SQL = (
+    _SCOPE_SQL
+    + f", fields AS (SELECT DISTINCT id, 'title' AS field, unnest(tt) AS term FROM q UNION SELECT id, 'h1', unnest(th) FROM q UNION SELECT id, 'slug', unnest(ts) FROM q UNION SELECT id, 'phrases', unnest(list_concat({grams_sql('tt', 2)}, {grams_sql('tt', 3)}, {grams_sql('th', 2)}, {grams_sql('th', 3)})) FROM q), "
+    f"tw AS (SELECT el.a, el.b, field, f.term, coalesce(w, CASE WHEN {_GENERIC_SQL.replace('(term', '(f.term')} THEN 0.05 ELSE 1 END) AS w FROM el JOIN fields f ON f.id = el.b LEFT JOIN wt ON wt.a = el.a AND wt.term = f.term), "
+    "tot AS (SELECT a, b, field, sum(w) AS total FROM tw GROUP BY ALL), "
+    "said AS (SELECT id, 'token' AS kind, term, max(n) AS n FROM (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(body) AS term FROM q) GROUP BY ALL UNION ALL SELECT DISTINCT id, unnest(list_concat(tt, th)), 3 FROM q) GROUP BY ALL "
+    f"UNION ALL SELECT id, 'phrase', term, count(*) FROM (SELECT id, unnest(list_concat({grams_sql('body', 2)}, {grams_sql('body', 3)})) AS term FROM q) GROUP BY ALL), "
+    "cov AS (SELECT tw.a, tw.b, tw.field, least(1.0, sum(tw.w * (1 - exp(-s.n / 2.0))) / greatest(any_value(total), 1.0)) AS v FROM tw JOIN said s ON s.id = tw.a AND s.term = tw.term AND s.kind = CASE WHEN field = 'phrases' THEN 'phrase' ELSE 'token' END JOIN tot USING (a, b, field) GROUP BY ALL), "
+    "own AS (SELECT f.id AS a, field, sum(w) AS total FROM fields f JOIN wt ON wt.a = f.id AND wt.term = f.term WHERE field IN ('title', 'h1') GROUP BY ALL), "
+    "jac AS (SELECT tw.a, tw.b, tw.field, least(1.0, sum(tw.w) / (any_value(own.total) + any_value(tot.total) - sum(tw.w)) * least(1.0, sum(tw.w))) AS v FROM tw JOIN fields x ON x.id = tw.a AND x.field = tw.field AND x.term = tw.term AND tw.field IN ('title', 'h1') "
+    "JOIN tot ON tot.a = tw.a AND tot.b = tw.b AND tot.field = tw.field JOIN own ON own.a = tw.a AND own.field = tw.field GROUP BY ALL), "
+    "wide AS (SELECT a, b, coalesce(max(v) FILTER (f = 'ctitle'), 0) AS ct, coalesce(max(v) FILTER (f = 'ch1'), 0) AS ch, coalesce(max(v) FILTER (f = 'cslug'), 0) AS cs, coalesce(max(v) FILTER (f = 'cphrases'), 0) AS cp, coalesce(max(v) FILTER (f = 'jtitle'), 0) AS jt, coalesce(max(v) FILTER (f = 'jh1'), 0) AS jh "
+    "FROM (SELECT a, b, 'c' || field AS f, v FROM cov UNION ALL SELECT a, b, 'j' || field, v FROM jac) GROUP BY ALL), "
+    "tops AS (SELECT wide.*, s.region AS sr, t.region AS tr, s.language AS sl, t.language AS tl, t.title, t.h1, ct * 0.18 + cp * 0.16 + ch * 0.12 + jt * 0.07 + cs * 0.06 + jh * 0.05 AS topical FROM wide JOIN q s ON s.id = a JOIN q t ON t.id = b), "
+    "fin AS (SELECT *, 0.06 * round((CASE WHEN title <> '' THEN 0.35 ELSE 0 END + CASE WHEN h1 <> '' THEN 0.3 ELSE 0 END)::DOUBLE, 4) + 0.04 * greatest(0, 1.0 - CASE WHEN sl = '' OR tl = '' THEN 0.25 WHEN sl <> tl THEN 0.5 ELSE 0 END - CASE WHEN sr <> tr THEN 0.5 ELSE 0 END)::DOUBLE AS free FROM tops) "
+    "SELECT a AS source_page_id, b AS target_page_id, round(round(least(1.0, topical + least(1.0, topical / 0.225) * free), 4), 3) AS score, round(round(ct, 4), 3) AS content_title, round(round(cs, 4), 3) AS slug_similarity, round(round(jt, 4), 3) AS title_overlap FROM fin"
+)
+
+
+@query(_SCOPE_SQL + "SELECT a AS id, term, df, round(w, 6) AS w FROM wt")
+def scope_weights(spark, sf_dir):
+    """Frequency and weight of every term of every scope, by the class's frequencies and signed rows; the oracle lists and recounts each scope."""
+    scopes = Scopes(_classes(spark, sf_dir), _shown(spark, sf_dir))
+    every = scopes.context.join(scopes.by_class.drop("n"), SOURCE_CLASS).select("id", "term").unionByName(scopes.by_source.select("id", "term")).distinct()
+    known = scopes._frequencies(every).where("df > 0").select("id", "term", "df")
+    return known.join(scopes.weights(every).select("id", "term", F.round("w", 6).alias("w")), ["id", "term"])
+
+
+@query(_SCOPED_SQL)
+def scoped_scores(spark, sf_dir):
+    """Scores of eligible pairs with the weights of each source's scope."""
+    scored, _ = score_in_scopes(_shown(spark, sf_dir), _classes(spark, sf_dir))
+    return scored.select("source_page_id", "target_page_id", *[F.round(c, 3).alias(c) for c in ("score", "content_title", "slug_similarity", "title_overlap")])
+
+
 # --- listings and lookups --------------------------------------------------------------------------
 
 
@@ -345,3 +403,30 @@ def redirect_follow(spark, sf_dir):
     rules = pages.select(U.bare_host(F.col("url")).alias("host")).distinct()
     every = rules.select("host", F.lit(False).alias("allow"), F.explode(F.array(F.lit("/us/"), F.lit("/en/*5$"))).alias("pattern"))
     return followable(pages.select("id", "url"), SCOPE, every).select("id", "may_follow")
+
+
+# --- discovery -------------------------------------------------------------------------------------------
+
+_KINDS = ("ROBOTS_DISALLOWED", "NOT_HTML", "HTTP_ERROR", "REDIRECT_BLOCKED", "UNREACHABLE", "PAGE")
+_CHAIN_SQL = (
+    f"WITH RECURSIVE {SITE_SQL}, g AS (SELECT id, page_id, site_id, url, http_status, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 25 = 8 THEN url || '/nowhere' ELSE coalesce(lead(id) OVER s, first(id) OVER s) END AS next FROM w WINDOW s AS (PARTITION BY site_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), "
+    "chain AS (SELECT id AS start, id, 0 AS hops, [id] AS seen, false AS looped FROM g UNION ALL SELECT c.start, n.id, c.hops + 1, list_append(c.seen, n.id), c.looped OR list_contains(c.seen, n.id) FROM chain c JOIN g ON g.id = c.id JOIN g n ON n.id = g.next WHERE c.hops < 5), "
+    "ends AS (SELECT start, max(hops) AS hops, arg_max(id, hops) AS id, bool_or(looped) AS looped FROM chain GROUP BY start), "
+    "told AS (SELECT s.url AS request, e.id, e.hops, e.looped, CASE WHEN contains(f.next, '/nowhere') AND hops < 5 THEN 'PAGE_REDIRECTED' WHEN f.http_status NOT BETWEEN 200 AND 299 THEN 'PAGE_HTTP_ERROR' END AS error, f.http_status FROM ends e JOIN g s ON s.id = e.start JOIN g f ON f.id = e.id) "
+    "SELECT request, CASE WHEN error IS NULL THEN id END AS page_id, hops::INTEGER AS hops, looped, error, CASE WHEN error = 'PAGE_HTTP_ERROR' THEN http_status END AS http_status FROM told "
+    "UNION ALL SELECT url || '/missing', NULL, 0, false, ['PAGE_BLOCKED_BY_ROBOTS', 'PAGE_NOT_HTML', 'PAGE_HTTP_ERROR', 'PAGE_URL_BLOCKED', 'PAGE_FETCH_FAILED', 'PAGE_NOT_STORED'][page_id % 6 + 1], CASE WHEN page_id % 6 = 2 THEN 500 END FROM w"
+)
+
+
+@query(_CHAIN_SQL)
+def discovery(spark, sf_dir):
+    """Every page and a missing one beside it as requests; most pages redirect to the next one of the site, some to none that is stored."""
+    order = Window.partitionBy("site_id").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_id = Window.partitionBy("site_id").orderBy("id")
+    n = F.col("page_id")
+    onward = F.when(n % 7 == 0, None).when(n % 25 == 8, F.concat("url", F.lit("/nowhere"))).otherwise(F.coalesce(F.lead("url").over(by_id), F.first("url").over(order)))
+    pages = stored(site_pages(spark, sf_dir).withColumn("redirect_url", onward), "site")
+    missing = F.concat("url", F.lit("/missing"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (n % 6 + 1).cast("int"))
+    fetched = pages.select(missing.alias("request"), kind.alias("kind"), F.when(n % 6 == 2, 500).alias("status"))
+    return discover_pages(pages.select(F.col("url").alias("request")).unionByName(fetched.select("request")), pages, fetched)
