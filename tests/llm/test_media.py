@@ -89,6 +89,15 @@ def test_tiles(spark):
     assert out[2]["tile"] is None and out[2]["problem"] and out[3]["dhash"] is None
 
 
+def test_tiles_leave_the_images_as_they_are(spark):
+    images = spark.createDataFrame([(1, encode_pgm(np.zeros((2, 2))), "z")], "`meta.k` long, image binary, tile string")
+    before = list(images.schema.names)
+    for _ in range(2):  # the same table serves twice
+        out = image_tiles(images, tile=(1, 1))
+        assert out.columns == ["meta.k", "image", "tile", "dhash", "problem"] and out.count() == 1
+        assert images.schema.names == images.columns == before
+
+
 def test_texts(docs, rows, empty):
     out = text_media(docs).collect()
     assert len(out) == len(rows)

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Workspace, text_of
 
@@ -183,7 +184,7 @@ def image_tiles(images: DataFrame, column: str = "image", tile: tuple[int, int]
             old = dict(zip(names, batch.columns, strict=True))
             yield pa.RecordBatch.from_pydict(old | {"tile": pa.array(tiles, pa.binary()), "dhash": pa.array(hashes, pa.string()), "problem": pa.array(problems, pa.string())})
 
-    schema = plain.schema.add("tile", "binary").add("dhash", "string").add("problem", "string")
+    schema = StructType([*plain.schema.fields]).add("tile", "binary").add("dhash", "string").add("problem", "string")  # plain.schema is held by plain: adding to it would change its columns
     return plain.mapInArrow(made, schema).toDF(*[every[k] for k in kept], *results)
 
 
